@@ -69,11 +69,11 @@ def unpack(body: bytes, dtypes: list) -> list[np.ndarray]:
     return out
 
 
-def owners(letters: DataFrame, answer: Callable[[list[tuple[int, int, bytes]]], list[tuple]]) -> DataFrame:
-    """answer gets the letters (block, kind, body) of one hash range and returns replies."""
+def owners(letters: DataFrame, answer: Callable[..., list[tuple]], with_bucket: bool = False) -> DataFrame:
+    """answer gets the letters (block, kind, body) of one hash range, and its number if asked for; it returns replies."""
 
     def run(table: pa.Table) -> pa.Table:
         got = sorted(zip(table["block"].to_pylist(), table["kind"].to_pylist(), table["body"].to_pylist(), strict=True))
-        return mail(answer(got))
+        return mail(answer(got, table["bucket"][0].as_py()) if with_bucket else answer(got))
 
     return letters.groupBy("bucket").applyInArrow(run, MAIL)

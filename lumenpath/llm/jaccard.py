@@ -1,8 +1,8 @@
 """N-gram Jaccard join with prefix trees.
 
 1. Every text becomes the set of its distinct SHINGLE-word shingles (64-bit hashes). Equal sets are one class, so exact copies cost
-   one set. The global order of shingles is rare first: by the count of those that are frequent in some part of the corpus, then by hash.
-2. Sets that reach the threshold share one of their first n - ceil(t * n) + 1 shingles. A shingle in several sets' prefixes ties each of them
+   one set. The global order of shingles is rare first: by the number of sets that have them (counted over all documents), then by hash.
+2. Sets that reach the threshold share one of their first n - ceil(t * n) + 1 shingles, which most often no other set has. A shingle in several sets' prefixes ties each of them
    to the first such set; connected ties form a cluster, and linked sets lie in one cluster. No pairs are made.
 3. A cluster's sets, in shards of at most about SHARD_SHINGLES shingles, are joined shard by shard. One shard's sets stand in a prefix tree
    (most shared shingles first, so that copies share long paths); the other's run down it together: each edge adds its overlap once for
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenpath.llm import blocks as B
 from lumenpath.llm.arrays import U64, Words, mix, ragged, row_sums, runs, shingle_sets, text_column
 from lumenpath.llm.blocks import NO_ID
 from lumenpath.llm.components import components
@@ -27,8 +28,7 @@ from lumenpath.llm.sparkutil import checkpointed, fresh, ship
 
 SHINGLE = 4
 SHARD_SHINGLES = 400_000
-#: Order only: shingles counted so often in a part of FLUSH shingles are listed; the most frequent HOT_LIST of them come last.
-HOT_LOCAL, HOT_LIST, FLUSH = 4, 1 << 16, 1 << 22
+ROWS_PER_BLOCK = 1024
 #: Bytes of the table of shingles by queries that a tree is walked with.
 TABLE_BYTES = 1 << 25
 
@@ -45,44 +45,90 @@ def _set_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(row_sums(mix(h ^ U64(0x5851F42D4C957F2D)), bounds) + n).view(np.int64)
 
 
-def _frequent(batches):
-    kept, held = [], 0
+def _keys(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    """A shingle's hash range and 32 bits of its hash: what its count is kept by."""
+    return (B.bucket_of(h, n_buckets).astype(U64) << U64(32)) | (h & U64(0xFFFFFFFF))
 
-    def flush():
-        h, n = np.unique(np.concatenate(kept), return_counts=True)
-        many = n >= HOT_LOCAL
-        return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["shingle", "n"])
 
-    for batch in batches:
-        for _, _, _, h, _ in _sets(batch.column(0)):
-            kept.append(h)
-            held += len(h)
-            if held >= FLUSH:
-                yield flush()
-                kept, held = [], 0
-    if kept:
-        yield flush()
-
-
-def _signatures(hot, percent: int):
-    def run(batches):
-        keys, counts = hot.value
-        for batch in batches:
-            docs, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for i, j, row, h, bounds in _sets(batch.column(1)):
-                n, ids = np.diff(bounds), _set_ids(h, bounds)
-                if len(keys) and len(h):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    count = np.where(keys[at] == h, counts[at], 0)
-                    if count.any():
-                        h = h[np.lexsort((count, row))]
-                take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), pa.array(h[ragged(bounds[:-1], take)].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(docs[i:j]), marks.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(ids), prefix], ["doc_id", "mark", "n", "set_id", "prefix"])
+def _post_counts(n_buckets: int):
+    """In how many different sets of the block each shingle is: four bytes a shingle, and the counts over one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kept, seen = [], set()
+        for _, _, row, h, bounds in _sets(table["text"]):
+            ids = _set_ids(h, bounds)
+            new = np.zeros(len(ids), bool)
+            for r in np.unique(ids, return_index=True)[1].tolist():
+                new[r] = int(ids[r]) not in seen
+            seen.update(ids[new].tolist())
+            kept.append(_keys(h[new[row]], n_buckets))
+        keys, n = np.unique(np.concatenate(kept), return_counts=True)
+        at = np.searchsorted(keys >> U64(32), np.arange(n_buckets + 1, dtype=U64))
+        block, out = table["block"][0].as_py(), []
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            own, count = keys[at[b] : at[b + 1]].astype(np.uint32), n[at[b] : at[b + 1]]
+            many = np.flatnonzero(count > 1)
+            out.append((b, block, 0, B.pack([own]) + B.pack([many.astype(np.uint32), count[many].astype(np.uint32)])))
+        return B.mail(out)
+
+    return run
+
+
+def _count_owner(n_buckets: int):
+    def run(got: list[tuple[int, int, bytes]], bucket: int) -> list[tuple]:
+        owns, counts = [], []
+        for _, _, body in got:
+            (own,) = B.unpack(body, [np.uint32])
+            many, n = B.unpack(body[8 + 4 * len(own) :], [np.uint32, np.uint32])
+            count = np.ones(len(own), np.int64)
+            count[many] = n
+            owns.append(own)
+            counts.append(count)
+        keys, inverse = np.unique(np.concatenate(owns), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(counts), len(keys))
+        level = np.where(total > 1, np.minimum(255, 8 * np.log2(total)), 0).astype(np.uint8)[inverse]
+        ends = np.cumsum([len(x) for x in owns])
+        return [B.reply(block, bucket, np.packbits(x > 0).tobytes() + x[x > 0].tobytes()) for (block, _, _), x in zip(got, np.split(level, ends[:-1]), strict=True)]
 
     return run
 
 
+def _signatures(n_buckets: int, percent: int):
+    """Per row: its set, and those shingles of its prefix that several sets have."""
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _SIGNED.empty_table()
+        parts = list(_sets(table["text"]))
+        known = np.unique(np.concatenate([_keys(h, n_buckets) for _, _, _, h, _ in parts]))
+        at = np.searchsorted(known >> U64(32), np.arange(n_buckets + 1, dtype=U64))
+        levels = np.zeros(len(known), np.uint8)
+        for bucket, body in zip(replies["kind"].to_pylist(), replies["body"].to_pylist(), strict=True):
+            a, z = at[bucket], at[bucket + 1]
+            flags = -(-(z - a) // 8)
+            several = np.unpackbits(np.frombuffer(body, np.uint8, flags), count=z - a).astype(bool)
+            levels[a:z][several] = np.frombuffer(body, np.uint8, offset=flags)
+        ns, ids, sizes, prefix = [], [], [], []
+        for _, _, row, h, bounds in parts:
+            n = np.diff(bounds)
+            level = levels[np.searchsorted(known, _keys(h, n_buckets))] if len(h) else np.zeros(0, np.uint8)
+            order = np.lexsort((level, row))  # stable: by hash among equals
+            take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+            chosen = order[ragged(bounds[:-1], take)]
+            use = level[chosen] > 0
+            ns.append(n)
+            ids.append(_set_ids(h, bounds))
+            sizes.append(np.bincount(row[chosen][use], minlength=len(n)))
+            prefix.append(h[chosen][use])
+        shingles = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))), pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
+        return pa.table([table["doc_id"], table["mark"], pa.array(np.concatenate(ns).astype(np.int64)), pa.array(np.concatenate(ids)), shingles], schema=_SIGNED)
+
+    return run
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+
+
 def _packed_sets(batches):
     """Of rows whose text has the set they were chosen for."""
     for batch in batches:
@@ -183,13 +229,12 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ship(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
     text = F.col("text").cast("string").alias("text")
-    frequent = docs.select(text).mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = frequent.orderBy(F.desc("n"), "shingle").limit(HOT_LIST).collect()
-    keys = np.array([r["shingle"] for r in top], np.int64).view(U64)
-    order = np.argsort(keys)
-    hot = spark.sparkContext.broadcast((keys[order], np.array([r["n"] for r in top], np.int64)[order]))
     own = docs.select(key, text, F.xxhash64("text").alias("mark"))
-    signed = checkpointed(own.mapInArrow(_signatures(hot, percent), "doc_id long, mark long, n long, set_id long, prefix array<long>"))
+    base, n = B.in_blocks(docs, ROWS_PER_BLOCK, extra=(F.xxhash64("text").alias("mark"),))
+    n_buckets, by_block = B.buckets_for(n), base.groupBy("block")
+    counts = B.owners(by_block.applyInArrow(_post_counts(n_buckets), B.MAIL), _count_owner(n_buckets), with_bucket=True)
+    made = by_block.cogroup(counts.groupBy("block")).applyInArrow(_signatures(n_buckets, percent), "doc_id long, mark long, n long, set_id long, prefix array<long>")
+    signed = checkpointed(made)
     entries = signed.select("set_id", F.explode("prefix").alias("shingle"))
     first = entries.groupBy("shingle").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("shingle", "a")
     ties = entries.join(first, "shingle").where("set_id <> a").select("a", "set_id").distinct()

@@ -6,10 +6,36 @@ The operators keep general interfaces in their own modules; a query derives the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumenpath.llm.samples import crc_mod
 from lumenpath.llm.sparkutil import read
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenpath.llm.langid import fit, identify
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True))
+    found = identify(docs, fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenpath.llm.chat import digests, examples
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return digests(examples(turns.unionByName(more)))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenpath.llm.topk import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenpath.llm.jaccard import jaccard_components
 
@@ -22,9 +48,47 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_words(read(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenpath.llm.quality import fit, scores
+
+    docs, held_out = read(spark, sf_dir, "documents"), F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(True))
+    forest = fit(docs, read(spark, sf_dir, "labels").where(~held_out))
+    return scores(docs, forest).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lumenpath.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenpath.llm.rules import fit, judge
+
+    docs = read(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+
+TOP_K = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_topk": TOP_K}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -35,7 +36,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenpath-cp"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    context._jvm.System.gc()  # lets Spark's cleaner remove shuffle files that nothing refers to any more
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
