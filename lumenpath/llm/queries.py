@@ -12,6 +12,24 @@ from lumenpath.llm.samples import crc_mod
 from lumenpath.llm.sparkutil import read
 
 
+#: The mixture that op1 and the pipeline aim at: text by language, and little junk.
+MIXTURE = {"en": 0.52, "de": 0.18, "fr": 0.17, "es": 0.11, "junk": 0.02}
+
+
+def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A labelled table (doc_id, domain): junk where labels say so, else the language."""
+    lang = docs.where("lang IS NOT NULL").select(F.col("doc_id").alias("_of"), "lang")
+    kind = F.when(F.col("quality") == 0, "junk").otherwise(F.col("lang"))
+    return labels.join(lang, labels["doc_id"] == lang["_of"]).select("doc_id", kind.alias("domain"))
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenpath.llm.mixing import fit_rates
+
+    docs = read(spark, sf_dir, "documents")
+    return fit_rates(docs, domains(docs, read(spark, sf_dir, "labels")), MIXTURE).drop("mark")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenpath.llm.langid import fit, identify
 
@@ -21,6 +39,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenpath.llm.lmscore import score
+
+    labels = read(spark, sf_dir, "labels")
+    return score(read(spark, sf_dir, "documents"), labels.where("quality = 1 AND toxic = 0"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenpath.llm.chat import digests, examples
 

@@ -25,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 TRAIN_ROWS = 10_000
-THRESHOLDS, CONDITIONS, RULES, PRECISION, LEAST = 32, 3, 12, 0.8, 8
+THRESHOLDS, CONDITIONS, RULES, PRECISION, LEAST = 32, 3, 12, 0.9, 8
 
 
 def _next_to(column: str, step: int) -> Column:
@@ -119,44 +119,62 @@ def learn(rows: list[dict], bad: list[bool]) -> list[Rule]:
         for cut in sorted(cuts):
             tests += [((name, True, cut), _bits(r[name] >= cut for r in rows)), ((name, False, cut), _bits(r[name] <= cut for r in rows))]
     rules, left = [], (1 << n) - 1
-    for _ in range(RULES):
-        chosen, cover = [], left & grow_rows
-        while len(chosen) < CONDITIONS:
-            p0, n0 = (cover & target).bit_count(), (cover & ~target).bit_count()
-            if not p0 or not n0:
+    least = min(LEAST, max(2, target.bit_count() // 20))
+    closed: set[str] = set()  # features that may not open a rule: none good enough came of them
+    while len(rules) < RULES:
+        found = _grown(tests, left, target, grow_rows, closed)
+        if not found:
+            break
+        ways = [_pruned(found, left & prune, target), found]
+        for way in ways:
+            cover = _cover(way, left)
+            p, q = (cover & target).bit_count(), (cover & ~target).bit_count()
+            if p >= least and p >= PRECISION * (p + q):
+                rules.append(Rule(tuple(t for t, _ in way)))
+                left &= ~cover
                 break
-            before = math.log2(p0 / (p0 + n0))
+        else:
+            closed.add(found[0][0][0])
+    return rules
 
-            def gain(mask, cover=cover, before=before):
-                p, q = (cover & mask & target).bit_count(), (cover & mask & ~target).bit_count()
-                return p * (math.log2(p / (p + q)) - before) if p else -1.0
 
-            best, (test, mask) = max(((gain(m), (t, m)) for t, m in tests), key=lambda x: x[0])
-            if best <= 0:
-                break
-            chosen.append((test, mask))
-            cover &= mask
-
-        def worth(some):
-            mask = left & prune
-            for _, m in some:
-                mask &= m
-            p, q = (mask & target).bit_count(), (mask & ~target).bit_count()
-            return (p - q) / (p + q) if p + q else -1.0
-
-        while len(chosen) > 1 and worth(chosen[:-1]) >= worth(chosen):
-            chosen.pop()
-        if not chosen:
+def _cover(tests: list, rows: int) -> int:
+    for _, mask in tests:
+        rows &= mask
+    return rows
+
+
+def _grown(tests: list, left: int, target: int, grow_rows: int, closed: set[str]) -> list:
+    """A conjunction, by FOIL's information gain, until it covers no row that isn't a target."""
+    chosen, cover = [], left & grow_rows
+    while len(chosen) < CONDITIONS:
+        p0, n0 = (cover & target).bit_count(), (cover & ~target).bit_count()
+        if not p0 or not n0:
             break
-        mask = left
-        for _, m in chosen:
-            mask &= m
-        p, q = (mask & target).bit_count(), (mask & ~target).bit_count()
-        if p < min(LEAST, max(2, target.bit_count() // 20)) or p < PRECISION * (p + q):
+        before, best, pick = math.log2(p0 / (p0 + n0)), 0.0, None
+        for test, mask in tests:
+            p, q = (cover & mask & target).bit_count(), (cover & mask & ~target).bit_count()
+            gain = p * (math.log2(p / (p + q)) - before) if p else 0.0
+            if gain > best and (chosen or test[0] not in closed):
+                best, pick = gain, (test, mask)
+        if pick is None:
             break
-        rules.append(Rule(tuple(t for t, _ in chosen)))
-        left &= ~mask
-    return rules
+        chosen.append(pick)
+        cover &= pick[1]
+    return chosen
+
+
+def _pruned(chosen: list, rows: int, target: int) -> list:
+    """chosen without its last conditions, as long as that is better on the rows held for pruning."""
+
+    def worth(some: list) -> float:
+        cover = _cover(some, rows)
+        p, q = (cover & target).bit_count(), (cover & ~target).bit_count()
+        return (p - q) / (p + q) if p + q else -1.0
+
+    while len(chosen) > 1 and worth(chosen[:-1]) > worth(chosen):
+        chosen = chosen[:-1]
+    return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> list[Rule]:

@@ -15,6 +15,8 @@ from lumenpath.llm.arrays import SPACE, runs, text_column
 
 SIZES, BITS, WIDTH = (2, 3, 4), 14, 16
 BUCKETS = 1 << BITS
+#: Small samples are gone over so often that there are as many steps.
+LEAST_STEPS = 1_500
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -109,6 +111,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 20.0, batc
     examples = [(*_counts(p), number[y]) for text, y in used for p in _pieces(text, rng, short) if len(p) > 1]
     table = (rng.random((BUCKETS, WIDTH), np.float32) - 0.5) / WIDTH
     weight, bias = np.zeros((WIDTH, len(labels)), np.float32), np.zeros(len(labels), np.float32)
+    epochs = max(epochs, LEAST_STEPS * batch // max(1, len(examples)))
     steps, step = max(1, epochs * -(-len(examples) // batch)), 0
     for _ in range(epochs):
         order = rng.permutation(len(examples))
