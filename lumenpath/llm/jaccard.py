@@ -33,11 +33,11 @@ ROWS_PER_BLOCK = 1024
 TABLE_BYTES = 1 << 25
 
 
-def _sets(texts):
+def _sets(texts, k: int):
     data, offsets = text_column(texts)
     for i, j in runs(offsets):
         words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
-        yield i, j, *shingle_sets(words, SHINGLE)
+        yield i, j, *shingle_sets(words, k)
 
 
 def _set_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -50,12 +50,12 @@ def _keys(h: np.ndarray, n_buckets: int) -> np.ndarray:
     return (B.bucket_of(h, n_buckets).astype(U64) << U64(32)) | (h & U64(0xFFFFFFFF))
 
 
-def _post_counts(n_buckets: int):
+def _post_counts(n_buckets: int, k: int):
     """In how many different sets of the block each shingle is: four bytes a shingle, and the counts over one."""
 
     def run(table: pa.Table) -> pa.Table:
         kept, seen = [], set()
-        for _, _, row, h, bounds in _sets(table["text"]):
+        for _, _, row, h, bounds in _sets(table["text"], k):
             ids = _set_ids(h, bounds)
             new = np.zeros(len(ids), bool)
             for r in np.unique(ids, return_index=True)[1].tolist():
@@ -93,13 +93,13 @@ def _count_owner(n_buckets: int):
     return run
 
 
-def _signatures(n_buckets: int, percent: int):
+def _signatures(n_buckets: int, percent: int, k: int):
     """Per row: its set, and those shingles of its prefix that several sets have."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _SIGNED.empty_table()
-        parts = list(_sets(table["text"]))
+        parts = list(_sets(table["text"], k))
         known = np.unique(np.concatenate([_keys(h, n_buckets) for _, _, _, h, _ in parts]))
         at = np.searchsorted(known >> U64(32), np.arange(n_buckets + 1, dtype=U64))
         levels = np.zeros(len(known), np.uint8)
@@ -129,15 +129,19 @@ def _signatures(n_buckets: int, percent: int):
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
 
-def _packed_sets(batches):
+def _packed_sets(k: int):
     """Of rows whose text has the set they were chosen for."""
-    for batch in batches:
-        want = batch.column("set_id").to_numpy()
-        for i, j, _, h, bounds in _sets(batch.column("text")):
-            right = np.flatnonzero(_set_ids(h, bounds) == want[i:j])
-            body = [h[bounds[r] : bounds[r + 1]].tobytes() for r in right.tolist()]
-            part = batch.slice(i, j - i).take(pa.array(right))
-            yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("shards"), part.column("shard"), part.column("set_id"), pa.array(body, pa.binary())], ["cluster", "shards", "shard", "set_id", "body"])
+
+    def run(batches):
+        for batch in batches:
+            want = batch.column("set_id").to_numpy()
+            for i, j, _, h, bounds in _sets(batch.column("text"), k):
+                right = np.flatnonzero(_set_ids(h, bounds) == want[i:j])
+                body = [h[bounds[r] : bounds[r + 1]].tobytes() for r in right.tolist()]
+                part = batch.slice(i, j - i).take(pa.array(right))
+                yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("shards"), part.column("shard"), part.column("set_id"), pa.array(body, pa.binary())], ["cluster", "shards", "shard", "set_id", "body"])
+
+    return run
 
 
 class _Union:
@@ -223,7 +227,7 @@ def _join_shards(percent: int):
     return run
 
 
-def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, n, set_id) of each row, and (node, root) of linked set_ids."""
     spark = docs.sparkSession
     ship(spark)
@@ -232,8 +236,8 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     own = docs.select(key, text, F.xxhash64("text").alias("mark"))
     base, n = B.in_blocks(docs, ROWS_PER_BLOCK, extra=(F.xxhash64("text").alias("mark"),))
     n_buckets, by_block = B.buckets_for(n), base.groupBy("block")
-    counts = B.owners(by_block.applyInArrow(_post_counts(n_buckets), B.MAIL), _count_owner(n_buckets), with_bucket=True)
-    made = by_block.cogroup(counts.groupBy("block")).applyInArrow(_signatures(n_buckets, percent), "doc_id long, mark long, n long, set_id long, prefix array<long>")
+    counts = B.owners(by_block.applyInArrow(_post_counts(n_buckets, k), B.MAIL), _count_owner(n_buckets), with_bucket=True)
+    made = by_block.cogroup(counts.groupBy("block")).applyInArrow(_signatures(n_buckets, percent, k), "doc_id long, mark long, n long, set_id long, prefix array<long>")
     signed = checkpointed(made)
     entries = signed.select("set_id", F.explode("prefix").alias("shingle"))
     first = entries.groupBy("shingle").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("shingle", "a")
@@ -245,7 +249,7 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     members = checkpointed(members.join(mass, "cluster").withColumn("shard", F.pmod(F.xxhash64("set_id"), "shards").cast("int")))
     total = members.agg(F.sum(F.col("n") * F.col("shards"))).first()[0] or 0
     chosen = own.join(members.drop("n"), ["doc_id", "mark"]).select("cluster", "shards", "shard", "set_id", "text")
-    sets = chosen.mapInArrow(_packed_sets, "cluster long, shards int, shard int, set_id long, body binary")
+    sets = chosen.mapInArrow(_packed_sets(k), "cluster long, shards int, shard int, set_id long, body binary")
     other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     pairs = sets.withColumn("other", other).withColumn("low", F.least("shard", "other")).withColumn("high", F.greatest("shard", "other"))
     bucket = F.pmod(F.xxhash64("cluster", "low", "high"), F.lit(max(64, total // 1_000_000))).cast("int")
@@ -253,23 +257,23 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return signed.drop("prefix"), components(links, "a", "b")
 
 
-def _rooted(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    signed, linked = _classes(docs, percent)
+def _rooted(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    signed, linked = _classes(docs, percent, k)
     rooted = signed.join(linked, signed["set_id"] == linked["node"], "left").select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("root"))
     return rooted, rooted.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
 
 
-def jaccard_components(docs: DataFrame, percent: int = 85) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 85, k: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    rooted, first = _rooted(docs, percent)
+    rooted, first = _rooted(docs, percent, k)
     own = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     out = rooted.join(first, "root", "left").withColumn("component_id", F.coalesce("first.doc_id", "doc_id"))
     return out.select(own("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), own("component_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 85, k: int = SHINGLE) -> DataFrame:
     """docs, with one document of each component: that with the smallest doc_id. Documents without words all stay."""
-    rooted, first = _rooted(docs, percent)
+    rooted, first = _rooted(docs, percent, k)
     keep = first.select("first.*").unionByName(rooted.where("n = 0").select("doc_id", "mark").distinct())
     key, mark = fresh(docs, "key", "mark")
     own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(mark, F.xxhash64("text"))

@@ -26,6 +26,7 @@ from lumenpath.llm.subwords import Classifier, train
 #: The bound of the labelled sample.
 TRAIN_ROWS = 3_000
 ITERATIONS, TOLERANCE, PULL = 60, 1e-4, 1e-3
+MOST_BUDGET = 4.0
 
 
 def _word_counts(texts) -> np.ndarray:
@@ -60,22 +61,22 @@ def _matrix(column) -> np.ndarray:
     return column.values.to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _rates(p: np.ndarray, past: list[tuple[np.ndarray, float]], step: float) -> tuple[np.ndarray, np.ndarray]:
+def _rates(p: np.ndarray, past: list[tuple[np.ndarray, float]], step: float, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The rates after the past iterations, and the point at which the next gradient is taken."""
-    rate = ahead = np.ones(len(p))
+    rate = ahead = np.full(len(p), max(1.0, least))
     for residual, momentum in past:
-        new = np.maximum(0, ahead - step * (p @ residual + PULL * (ahead - 1)))
+        new = np.maximum(least, ahead - step * (p @ residual + PULL * (ahead - 1)))
         ahead = new + momentum * (new - rate)
         rate = new
     return rate, ahead
 
 
-def _totals(past, step):
+def _totals(past, step, least):
     def run(batches):
         sums = None
         for batch in batches:
             p, tokens = _matrix(batch.column("posterior")), batch.column("tokens").to_numpy().astype(float)
-            rate, ahead = _rates(p, past, step)
+            rate, ahead = _rates(p, past, step, least)
             part = np.concatenate([(ahead * tokens) @ p, (rate * tokens) @ p])
             sums = part if sums is None else sums + part
         if sums is not None:
@@ -102,13 +103,13 @@ def _summed(df: DataFrame, run) -> np.ndarray:
     return out
 
 
-def _final(labels: list[str], past, step):
+def _final(labels: list[str], past, step, least):
     def run(batches):
         for batch in batches:
             p = _matrix(batch.column("posterior"))
             best = p.argmax(1)
             names = pa.array([labels[b] for b in best.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("tokens"), names, pa.array(p[np.arange(len(p)), best]), batch.column("posterior"), pa.array(_rates(p, past, step)[0])], ["doc_id", "mark", "tokens", "domain", "share", "posterior", "rate"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("tokens"), names, pa.array(p[np.arange(len(p)), best]), batch.column("posterior"), pa.array(_rates(p, past, step, least)[0])], ["doc_id", "mark", "tokens", "domain", "share", "posterior", "rate"])
 
     return run
 
@@ -116,10 +117,11 @@ def _final(labels: list[str], past, step):
 _RATED = "doc_id long, mark long, tokens long, domain string, share double, posterior array<double>, rate double"
 
 
-def fit_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], rows: int = TRAIN_ROWS, budget: float = 1.0) -> DataFrame:
+def fit_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], rows: int = TRAIN_ROWS, budget: float | None = 1.0, least: float = 0.0) -> DataFrame:
     """doc_id, mark (a hash of the text), tokens, domain (the likeliest), share (its posterior), posterior (by sorted domain), rate.
 
-    weights: the wished share of tokens of each domain (others: 0); budget: the mixture's tokens, as a multiple of those of docs.
+    weights: the wished share of tokens of each domain (others: 0); budget: the mixture's tokens, as a multiple of those of docs, or None:
+    as many as need no domain to shrink (MOST_BUDGET at most); least: no rate is below it (1: no document is dropped).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -135,12 +137,16 @@ def fit_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], row
     moments = moments.reshape(n, n) if moments.size else np.zeros((n, n))
     total = moments.sum() or 1.0  # posteriors sum to 1, so this is all tokens
     wished = np.array([max(0.0, weights.get(x, 0.0)) for x in model.labels])
-    wished = budget * wished / (wished.sum() or 1.0)
+    wished = wished / (wished.sum() or 1.0)
+    if budget is None:
+        share = moments.sum(1) / total
+        budget = min(MOST_BUDGET, max([1.0, *(share[wished > 0] / wished[wished > 0])]))
+    wished = budget * wished
     step = 1 / (float(np.linalg.eigvalsh(moments / total).max()) + PULL + 1e-12)
     past: list[tuple[np.ndarray, float]] = []
     t, last = 1.0, np.inf
     for _ in range(ITERATIONS):
-        sums = _summed(soft, _totals(past, step))
+        sums = _summed(soft, _totals(past, step, least))
         sums = sums / total if sums.size else np.zeros(2 * n)
         gap = float(np.abs(sums[n:] - wished).max())
         if past and (gap < TOLERANCE or abs(last - gap) < TOLERANCE * 1e-2):
@@ -149,7 +155,7 @@ def fit_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], row
         ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
         past.append((sums[:n] - wished, (t - 1) / ahead))
         t = ahead
-    return soft.mapInArrow(_final(model.labels, past, step), _RATED)
+    return soft.mapInArrow(_final(model.labels, past, step, least), _RATED)
 
 
 def sample(docs: DataFrame, rated: DataFrame) -> DataFrame:

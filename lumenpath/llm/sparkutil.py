@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,21 +29,40 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder; its lineage ends there.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary folder is set."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenpath-cp"))
+    return context.getCheckpointDir()
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the shared checkpoint folder; its lineage ends there."""
+    spark = df.sparkSession
+    shared_folder(spark)
     out = df.checkpoint()
     del df
-    gc.collect()
-    context._jvm.System.gc()  # lets Spark's cleaner remove shuffle files that nothing refers to any more
+    _release(spark)
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    del df
+    _release(spark)
+    return spark.read.parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
