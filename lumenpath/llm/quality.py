@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     ship(docs.sparkSession)
     own = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     found = labelled_texts(docs, own, rows).select("y", "text").mapInArrow(_statistics, "y int, x array<double>").collect()
-    x = np.array([r["x"] for r in found]).reshape(len(found), -1)
+    x = np.array([r["x"] for r in found]).reshape(len(found), len(STATISTICS))
     y = np.array([r["y"] for r in found], float)
     order = np.lexsort((*x.T, y)) if len(x) else slice(0)  # so that the order of partitions doesn't matter
     return grow(x[order], (y[order] == 1).astype(float))

@@ -101,7 +101,29 @@ class Rule:
 
 
 def _bits(flags) -> int:
-    return int("".join("1" if f else "0" for f in flags) or "0", 2)
+    """Bit i is set where the i-th flag is."""
+    return sum(1 << i for i, f in enumerate(flags) if f)
+
+
+def _threshold_tests(rows: list[dict], bad: list[bool], name: str) -> list[tuple]:
+    """((feature, at least, cut), rows that pass) at quantiles of all and of bad rows; one walk in ascending order."""
+    n = len(rows)
+    order = sorted(range(n), key=lambda i: rows[i][name])
+    wrong = [i for i in order if bad[i]]
+    cuts = sorted({rows[v[round(k * (len(v) - 1) / THRESHOLDS)]][name] for v in (order, wrong) for k in range(THRESHOLDS + 1)})
+    out, below, at, every = [], 0, 0, (1 << n) - 1
+    for cut in cuts:
+        while at < n and rows[order[at]][name] < cut:
+            below |= 1 << order[at]
+            at += 1
+        out.append(((name, True, cut), every & ~below))
+        here = at
+        while here < n and rows[order[here]][name] <= cut:
+            below |= 1 << order[here]
+            here += 1
+        at = here
+        out.append(((name, False, cut), below))
+    return out
 
 
 def learn(rows: list[dict], bad: list[bool]) -> list[Rule]:
@@ -111,13 +133,7 @@ def learn(rows: list[dict], bad: list[bool]) -> list[Rule]:
         return []
     target, prune = _bits(bad), _bits(i % 3 == 0 for i in range(n))
     grow_rows = ((1 << n) - 1) & ~prune
-    tests = []
-    for name in rows[0]:
-        values = sorted(r[name] for r in rows)
-        wrong = sorted(r[name] for r, b in zip(rows, bad, strict=True) if b)
-        cuts = {v[round(k * (len(v) - 1) / THRESHOLDS)] for v in (values, wrong) for k in range(THRESHOLDS + 1)}
-        for cut in sorted(cuts):
-            tests += [((name, True, cut), _bits(r[name] >= cut for r in rows)), ((name, False, cut), _bits(r[name] <= cut for r in rows))]
+    tests = [t for name in rows[0] for t in _threshold_tests(rows, bad, name)]
     rules, left = [], (1 << n) - 1
     least = min(LEAST, max(2, target.bit_count() // 20))
     closed: set[str] = set()  # features that may not open a rule: none good enough came of them
