@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumenpath.llm import blocks as B
 from lumenpath.llm.arrays import U64, Words, mix, row_sums, runs, text_column
-from lumenpath.llm.sparkutil import checkpointed, ship
+from lumenpath.llm.sparkutil import ship
 
 COMMON, M = 3, 4.0
 ROWS_PER_BLOCK = 2048
@@ -82,11 +82,11 @@ def _unpack_counts(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return count, target
 
 
-def _letters(found, n, in_target, block: int, n_buckets: int) -> pa.Table:
-    """Keys (five bytes each), counts and counts in the target."""
+def _letters(found, n, in_target, block: int, n_buckets: int, to_all: bool = False) -> pa.Table:
+    """Keys (five bytes each), counts and counts in the target; to owners without keys too, where all have to answer."""
     at = np.searchsorted(found >> U64(40), np.arange(n_buckets + 1, dtype=U64))
     out = []
-    for b in np.flatnonzero(np.diff(at)).tolist():
+    for b in range(n_buckets) if to_all else np.flatnonzero(np.diff(at)).tolist():
         own = found[at[b] : at[b + 1]]
         body = B.pack([own.astype(np.uint32), (own >> U64(32)).astype(np.uint8)])
         out.append((b, block, 0, body + _pack_counts(n[at[b] : at[b + 1]], in_target[at[b] : at[b + 1]])))
@@ -129,11 +129,23 @@ def _post_words(n_buckets: int):
             return B.mail([])
         h, _, target = _words(table, letters)
         found, n, t, _ = _count(_keys(h, n_buckets), target)
-        return _letters(found, n, t, table["block"][0].as_py(), n_buckets)
+        return _letters(found, n, t, table["block"][0].as_py(), n_buckets, to_all=True)
 
     return run
 
 
+def _added_words(got: list[tuple[int, int, bytes]], bucket: int) -> list[tuple]:
+    """_added, after the owner's share of what the models need: tokens, unknown tokens (in all, in the target) and vocabulary."""
+    sizes, inverse, count, target = _sums([body for _, _, body in got])
+    rare = count < COMMON
+    head = np.array([count.sum(), target.sum(), count[rare].sum(), target[rare].sum(), (~rare).sum()], np.int64).tobytes()
+    parts = np.split(inverse, np.cumsum(sizes)[:-1])
+    return [B.reply(block, bucket, head + _pack_counts(count[at], target[at])) for (block, _, _), at in zip(got, parts, strict=True)]
+
+
+_HEAD = 5 * 8
+
+
 def _of(letters: pa.Table, first: int, n: int) -> list[tuple[int, bytes]]:
     return [(k - first, b) for k, b in zip(letters["kind"].to_pylist(), letters["body"].to_pylist(), strict=True) if first <= k < first + n]
 
@@ -141,7 +153,7 @@ def _of(letters: pa.Table, first: int, n: int) -> list[tuple[int, bytes]]:
 def _known_words(h, target, letters, n_buckets):
     """Each word, or the unknown one; each word's number; counts of the numbered words; which of those are in the vocabulary."""
     found, _, _, inverse = _count(_keys(h, n_buckets), target)
-    count, in_target = _answered(found, _of(letters, 0, n_buckets), n_buckets)
+    count, in_target = _answered(found, [(b, body[_HEAD:]) for b, body in _of(letters, 0, n_buckets)], n_buckets)
     common = count >= COMMON
     return np.where(common[inverse], h, _UNKNOWN), inverse, count, in_target, common
 
@@ -159,15 +171,7 @@ def _post_pairs(n_buckets: int):
     return run
 
 
-def _sizes(table: pa.Table) -> pa.Table:
-    """Of one owner's words: tokens, unknown tokens (in all, in the target) and vocabulary."""
-    _, _, count, target = _sums(table["body"].to_pylist())
-    rare = count < COMMON
-    values = (count.sum(), target.sum(), count[rare].sum(), target[rare].sum(), (~rare).sum())
-    return pa.table({k: pa.array([int(v)]) for k, v in zip(("n", "t", "n0", "t0", "v"), values, strict=True)})
-
-
-def _score(n_buckets: int, sizes: dict[str, int]):
+def _score(n_buckets: int):
     def run(table: pa.Table, letters: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _SCORED.empty_table()
@@ -176,10 +180,12 @@ def _score(n_buckets: int, sizes: dict[str, int]):
         pair, has = _pairs(words, bounds)
         found, _, _, number = _count(_keys(pair, n_buckets), target[has])
         both = _answered(found, _of(letters, n_buckets, n_buckets), n_buckets)
+        heads = [np.frombuffer(body, np.int64, 5) for _, body in _of(letters, 0, n_buckets)]
+        tokens, target_tokens, unknown_tokens, unknown_target, vocabulary = np.sum(heads, 0).tolist()
         loss = []
-        for uni, bi, total, unknown in ((count, both[0], sizes["n"], sizes["n0"]), (in_target, both[1], sizes["t"], sizes["t0"])):
+        for uni, bi, total, unknown in ((count, both[0], tokens, unknown_tokens), (in_target, both[1], target_tokens, unknown_target)):
             own = np.where(common, uni, unknown)[inverse]
-            p = (own + 1) / (total + sizes["v"] + 1)
+            p = (own + 1) / (total + vocabulary + 1)
             before = np.zeros(len(h))
             before[1:] = own[:-1]
             p[has] = (bi[number] + M * p[has]) / (before[has] + M)
@@ -206,13 +212,11 @@ def score(docs: DataFrame, targets: DataFrame, rows_per_block: int = ROWS_PER_BL
     key, target = F.coalesce(F.col("doc_id").cast("long"), F.lit(B.NO_ID)), F.col("doc_id").cast("long")
     by_block = docs.select(block(key), key.alias("doc_id"), F.col("text").cast("string").alias("text")).groupBy("block")
     marks = targets.where(F.col("doc_id").isNotNull()).select(block(target), target.alias("doc_id")).groupBy("block").applyInArrow(_marks, B.MAIL)
-    posted = checkpointed(by_block.cogroup(marks.groupBy("block")).applyInArrow(_post_words(n_buckets), B.MAIL))
-    sums = posted.groupBy("bucket").applyInArrow(_sizes, "n long, t long, n0 long, t0 long, v long")
-    sizes = {k: v or 0 for k, v in sums.agg(*[F.sum(c).alias(c) for c in ("n", "t", "n0", "t0", "v")]).first().asDict().items()}
-    words = marks.unionByName(B.owners(posted, _added, with_bucket=True))
+    posted = by_block.cogroup(marks.groupBy("block")).applyInArrow(_post_words(n_buckets), B.MAIL)
+    words = marks.unionByName(B.owners(posted, _added_words, with_bucket=True))
     pairs = B.owners(by_block.cogroup(words.groupBy("block")).applyInArrow(_post_pairs(n_buckets), B.MAIL), _added, with_bucket=True)
     letters = words.unionByName(pairs.withColumn("kind", F.col("kind") + n_buckets))
-    return by_block.cogroup(letters.groupBy("block")).applyInArrow(_score(n_buckets, sizes), _SCORED_DDL)
+    return by_block.cogroup(letters.groupBy("block")).applyInArrow(_score(n_buckets), _SCORED_DDL)
 
 
 _SCORED_DDL = "doc_id long, n_words long, target_loss double, background_loss double, score double"
