@@ -66,8 +66,8 @@ def canonical_unit(unit: str) -> str:
 
 def _table(entries: dict[str, tuple[str, float]]) -> Column:
     """unit -> (code, factor), as a map literal that Catalyst folds."""
-    pairs = [x for unit, (code, factor) in entries.items() for x in (F.lit(unit), F.struct(F.lit(code).alias("code"), F.lit(factor).alias("factor")))]
-    return F.create_map(*pairs)
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quote(u)}, named_struct('code', {quote(c)}, 'factor', {f!r}D)" for u, (c, f) in entries.items()) + ")")
 
 
 def canonical(unit: Column, literal: str | None = None) -> tuple[Column, Column]:

@@ -64,6 +64,11 @@ def constant(value) -> Coll:
     return EMPTY
 
 
+def bound(a: Coll, b: Coll, body) -> Column:
+    """body(a, b), with both columns computed once; for operators that read parts of their operands."""
+    return let(F.struct(a.col.alias("a"), b.col.alias("b")), lambda p: body(replace(a, col=p["a"]), replace(b, col=p["b"])))
+
+
 class Compiler:
     def __init__(self, root: Coll, variables: dict | None = None, spec: bool = False, strict: bool = False, max_items: int | None = None):
         import lumenpath.functions.library  # noqa: F401  registers the functions
@@ -292,10 +297,14 @@ class Compiler:
         if a.kind != b.kind:
             return F.when(left.isNotNull() & right.isNotNull(), F.lit(False))
         if a.kind in ("date", "time", "datetime"):
-            return temporal.equal(a.kind, left, right)
+            return bound(a, b, lambda p, q: temporal.equal(a.kind, p.col, q.col))
         if a.kind == "quantity":
-            comparable, x, y = temporal.quantity_pair(a, b)
-            return F.when(left.isNotNull() & right.isNotNull(), F.coalesce(comparable & (x == y), F.lit(False)))
+
+            def same(p, q):
+                comparable, x, y = temporal.quantity_pair(p, q)
+                return F.when(p.col.isNotNull() & q.col.isNotNull(), F.coalesce(comparable & (x == y), F.lit(False)))
+
+            return bound(a, b, same)
         if a.kind == "object":
             return F.to_json(left) == F.to_json(right)
         return left == right
@@ -342,11 +351,17 @@ class Compiler:
             return Coll("boolean", compare(a.col, b.col))
         both = object_column(a).isNotNull() & object_column(b).isNotNull()
         if a.kind == b.kind and a.kind in ("date", "time", "datetime"):
-            sign = temporal.compare(a.kind, a.col, b.col)
+            sign = bound(a, b, lambda p, q: temporal.compare(a.kind, p.col, q.col))
+            if not self.strict:
+                return Coll("boolean", compare(sign, F.lit(0)))
             return Coll("boolean", self.fail(both & sign.isNull(), f"{op}: ambiguous precision", compare(sign, F.lit(0))))
         if a.kind == b.kind == "quantity":
-            comparable, x, y = temporal.quantity_pair(a, b)
-            return Coll("boolean", self.fail(both & ~comparable, f"{op}: incompatible units", compare(x, y)))
+
+            def ordered(p, q):
+                comparable, x, y = temporal.quantity_pair(p, q)
+                return self.fail(~comparable, f"{op}: incompatible units", compare(x, y))
+
+            return Coll("boolean", bound(a, b, ordered))
         if self.strict:
             return Coll("boolean", self.fail(both, f"{op}: {a.kind} and {b.kind} can't be compared", none("boolean")))
         return Coll("boolean", none("boolean"))
@@ -356,7 +371,7 @@ class Compiler:
             return EMPTY
         a, b = self.pair(a, b)
         if op in "+-" and a.kind in ("date", "datetime") and b.kind == "quantity":
-            return Coll(a.kind, temporal.add(a.kind, a.col, b.col, 1 if op == "+" else -1, self.spec))
+            return Coll(a.kind, bound(a, b, lambda p, q: temporal.add(a.kind, p.col, q.col, 1 if op == "+" else -1, self.spec)))
         if op in "+-" and a.kind == b.kind == "quantity":
             same = (a.col["unit"] == b.col["unit"]) | (a.col["unit"] == "") | (b.col["unit"] == "")
             value = F.round(a.col["value"] + b.col["value"] if op == "+" else a.col["value"] - b.col["value"], 12)

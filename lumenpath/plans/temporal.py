@@ -115,11 +115,6 @@ def add(kind: str, x: Column, quantity: Column, sign: int, clamp: bool) -> Colum
     return F.when(known, F.struct(*[(F.when(x[n].isNotNull(), at[n]) if n in at else x[n]).cast("int").alias(n) for n in DATETIME]))
 
 
-def parse_date(s: Column) -> Column:
-    part = lambda k: F.try_to_number(F.nullif(F.regexp_extract(s, r"^(\d{4})(?:-(\d\d))?(?:-(\d\d))?$", k), F.lit("")), F.lit("9999")).cast("int")
-    return F.when(part(1).isNotNull(), F.struct(*[part(k + 1).alias(n) for k, n in enumerate(DATE)]))
-
-
 _CLOCK = r"(\d\d)(?::(\d\d)(?::(\d\d)(?:\.(\d+))?)?)?"
 
 
@@ -127,6 +122,11 @@ def _int(s: Column) -> Column:
     return F.nullif(s, F.lit("")).try_cast("int")
 
 
+def parse_date(s: Column) -> Column:
+    part = [_int(F.regexp_extract(s, r"^(\d{4})(?:-(\d\d))?(?:-(\d\d))?$", k + 1)) for k in range(3)]
+    return F.when(part[0].isNotNull(), F.struct(*[p.alias(n) for p, n in zip(part, DATE, strict=True)]))
+
+
 def parse_time(s: Column) -> Column:
     at = [F.regexp_extract(s, f"^T?{_CLOCK}$", k + 1) for k in range(4)]
     at[3] = F.when(at[3] != "", F.rpad(F.substring(at[3], 1, 3), 3, "0"))
