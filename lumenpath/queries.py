@@ -274,6 +274,85 @@ def issues_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("status", "code").agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
+def _patient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON documents, with faults that follow from their keys."""
+    from pyspark.sql import functions as F
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key, null = F.col("c_custkey"), F.lit(None)
+    fault = lambda k, bad, good: F.when(key % k == 0, bad).otherwise(good)
+    name = F.struct(F.lit("official").alias("use"), fault(11, null.cast("string"), F.col("c_name")).alias("family"))
+    fields = [
+        fault(97, F.lit("Alien"), F.lit("Patient")).alias("resourceType"),
+        fault(13, F.concat(F.lit("bad id "), key.cast("string")), key.cast("string")).alias("id"),
+        fault(7, null, F.when(key % 5 == 0, F.array(name, name, name)).otherwise(F.array(name))).alias("name"),
+        fault(17, F.lit("robot"), F.lit("female")).alias("gender"),
+        fault(19, F.lit("1990-13-01"), F.lit("1990-12-01")).alias("birthDate"),
+        F.when(key % 23 == 0, "green").alias("colour"),
+        F.struct(fault(29, F.lit("Device/1"), fault(31, F.lit("no reference"), F.lit("Organization/1"))).alias("reference")).alias("managingOrganization"),
+        F.array(F.struct(fault(37, null.cast("string"), F.lit("http://example.org/balance")).alias("url"), F.col("c_acctbal").cast("double").alias("valueDecimal"))).alias("extension"),
+        F.when(key % 41 == 0, "").alias("multipleBirthBoolean"),
+    ]
+    return c.select(key.cast("long").alias("number"), F.to_json(F.struct(*fields)).alias("json"))
+
+
+def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenpath.operators.validate import issues
+    from lumenpath.rules.model import Options
+    from lumenpath.sources import examples
+
+    options = Options(terminology=True, references=True)
+    return issues(_patient_texts(spark, sf_dir), "json", examples.registry(), options, examples.terminology(), ("number",))
+
+
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenpath.operators.validate import summary
+
+    return summary(validation_issues(spark, sf_dir), "number")
+
+
+_ISSUES = """
+WITH p AS (SELECT c_custkey::BIGINT AS number, c_custkey AS k, c_acctbal AS b FROM customer), ok AS (SELECT * FROM p WHERE k % 97 <> 0)
+SELECT number, 'fatal' AS severity, 'not-found' AS code, 'Unknown resource type: Alien' AS diagnostics, '' AS expression FROM p WHERE k % 97 = 0
+UNION ALL SELECT number, 'error', 'value', 'Element ''Patient.id'' has invalid id format (alphanumeric, hyphens, dots, max 64 chars): bad id ' || k, 'Patient.id' FROM ok WHERE k % 13 = 0
+UNION ALL SELECT number, 'error', 'required', 'Missing required element: Patient.name (min=1)', 'Patient.name' FROM ok WHERE k % 7 = 0
+UNION ALL SELECT number, 'error', 'structure', 'Element ''Patient.name'' has 3 items but maximum is 2', 'Patient.name' FROM ok WHERE k % 7 <> 0 AND k % 5 = 0
+UNION ALL SELECT number, 'error', 'invariant', 'Constraint pat-1 violated: A name has a family or a given name', 'Patient.name' FROM ok WHERE k % 7 <> 0 AND k % 11 = 0
+UNION ALL SELECT number, 'error', 'code-invalid', 'Code ''robot'' is not in ValueSet http://example.org/ValueSet/genders|1.0 (binding: required)', 'Patient.gender' FROM ok WHERE k % 17 = 0
+UNION ALL SELECT number, 'error', 'value', 'Element ''Patient.birthDate'' has invalid date format: 1990-13-01', 'Patient.birthDate' FROM ok WHERE k % 19 = 0
+UNION ALL SELECT number, 'error', 'structure', 'Unknown element: Patient.colour', 'Patient.colour' FROM ok WHERE k % 23 = 0
+UNION ALL SELECT number, 'error', 'value', 'Reference to ''Device'' not allowed; expected one of: Organization', 'Patient.managingOrganization.reference' FROM ok WHERE k % 29 = 0
+UNION ALL SELECT number, 'error', 'value', 'Invalid reference format: ''no reference''', 'Patient.managingOrganization.reference' FROM ok WHERE k % 29 <> 0 AND k % 31 = 0
+UNION ALL SELECT number, 'error', 'required', 'Extension must have a ''url'' field', 'Patient.extension[0]' FROM ok WHERE k % 37 = 0
+UNION ALL SELECT number, 'warning', 'invariant', 'Constraint pat-2 violated: Balances are not negative', 'Patient' FROM ok WHERE k % 37 <> 0 AND b < 0
+UNION ALL SELECT number, 'error', 'value', 'Element ''Patient.multipleBirthBoolean'' must be a boolean', 'Patient.multipleBirthBoolean' FROM ok WHERE k % 41 = 0
+UNION ALL SELECT number, 'error', 'invariant', 'Constraint ele-1 violated: All FHIR elements must have a @value or children (empty string)', 'multipleBirthBoolean' FROM ok WHERE k % 41 = 0
+"""
+
+
+def dynamic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema-less evaluation of JSON texts."""
+    from pyspark.sql import functions as F
+
+    from lumenpath.operators import dynamic
+
+    df = _patient_texts(spark, sf_dir)
+    got = dynamic.select(df, "json", {"family": "Patient.name.family.distinct()", "n": "name.count()", "old": "birthDate.toDate() < @1990-12-02"})
+    return got.select("number", F.array_join("family", ",").alias("family"), F.array_join("n", ",").alias("n"), F.array_join("old", ",").alias("old"))
+
+
+def missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes outside a value set, as an anti-join."""
+    from pyspark.sql import functions as F
+
+    from lumenpath.sources.terminology import Terminology, not_in_set
+
+    known = Terminology()
+    known.load({"resourceType": "ValueSet", "url": "urn:priorities", "compose": {"include": [{"system": "urn:p", "concept": [{"code": "1-URGENT"}, {"code": "2-HIGH"}]}]}})
+    df = evaluate.select(documents.encounters(spark, sf_dir), {"code": ("priority.coding.code", "text")}, ("id",))
+    return not_in_set(df, F.col("code"), known.frame(spark), "urn:priorities|2").select("id", "code")
+
+
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "bundle_entries": (
         bundle_entries,
@@ -288,6 +367,16 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         exploded_components,
         f"WITH p AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, list_filter({_PARTS}, lambda x: x > 0.01) AS v FROM lineitem) SELECT id, (unnest(range(len(v))))::INTEGER AS pos, unnest(v) AS value FROM p",
     ),
+    "validation_issues": (validation_issues, _ISSUES),
+    "validation_summary": (
+        validation_summary,
+        f"SELECT number, count_if(severity <> 'warning')::BIGINT AS errors, count_if(severity = 'warning')::BIGINT AS warnings, count_if(severity <> 'warning') = 0 AS valid FROM ({_ISSUES}) GROUP BY number",
+    ),
+    "dynamic_select": (
+        dynamic_select,
+        "SELECT c_custkey::BIGINT AS number, CASE WHEN c_custkey % 97 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN '' ELSE c_name END AS family, CASE WHEN c_custkey % 7 = 0 THEN '0' WHEN c_custkey % 5 = 0 THEN '3' ELSE '1' END AS n, CASE WHEN c_custkey % 19 = 0 THEN 'false' ELSE 'true' END AS old FROM customer",
+    ),
+    "missing_codes": (missing_codes, "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS code FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"),
     "grouped_results": (
         issues_grouped,
         "SELECT CASE o_orderstatus WHEN 'O' THEN 'planned' WHEN 'F' THEN 'finished' WHEN 'P' THEN 'in-progress' END AS status, o_orderpriority AS code, count(*)::BIGINT AS n, round(sum(o_totalprice::DOUBLE), 2) AS total FROM orders GROUP BY ALL",
