@@ -12,6 +12,7 @@ from lumenpath.interp.evaluator import evaluate
 from lumenpath.interp.values import text
 from lumenpath.lang.errors import PathError
 from lumenpath.lang.parser import parse
+from lumenpath.shipping import ship
 
 
 def native(x):
@@ -21,6 +22,7 @@ def native(x):
 
 def select(df: DataFrame, json_column: str, columns: dict[str, str], strict: bool = False, **options) -> DataFrame:
     """df with an array of texts for each expression. Without strict, an error gives an empty result for its row."""
+    ship(df.sparkSession)
     for expression in columns.values():
         parse(expression)  # errors of syntax show before any row is read
     names = [f for f in df.schema.fieldNames() if f not in columns]

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lumenpath.rules.model import Options
 from lumenpath.rules.validate import Validator
+from lumenpath.shipping import ship
 from lumenpath.sources.definitions import Registry
 from lumenpath.sources.terminology import Terminology
 
@@ -21,6 +22,7 @@ _COLUMNS = ("severity", "code", "diagnostics", "expression")
 
 def issues(df: DataFrame, json_column: str, registry: Registry, options: Options | None = None, terminology: Terminology | None = None, keep: tuple = ()) -> DataFrame:
     """One row for each issue: the columns to keep, severity, code, diagnostics, expression."""
+    ship(df.sparkSession)
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(c, T.StringType()) for c in _COLUMNS])
     own = df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{json_column}`").alias("_json"))
 
