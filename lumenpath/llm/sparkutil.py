@@ -5,28 +5,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from lumenpath.shipping import ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once in an application; the driver's file server serves it."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    if not root.is_dir():  # already running from a shipped archive
-        return
-    archive = Path(tempfile.mkdtemp(prefix="lumenpath")) / "lumenpath.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, f"lumenpath/{path.relative_to(root)}")
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
+__all__ = ["checkpointed", "fresh", "read", "shared_folder", "ship", "stored"]
 
 
 def shared_folder(spark: SparkSession) -> str:
