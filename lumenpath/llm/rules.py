@@ -196,8 +196,9 @@ def _pruned(chosen: list, rows: int, target: int) -> list:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> list[Rule]:
     """Rules for label = 0, from at most `rows` labelled rows; only those rows' statistics come to the driver."""
     own = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    found = with_statistics(labelled_texts(docs, own, rows)).select("y", *[c.alias(k) for k, c in features().items()]).collect()
-    known = sorted(((r["y"] == 0, {k: r[k] for k in features()}) for r in found), key=lambda x: (x[0], *x[1].values()))
+    columns = features()
+    found = with_statistics(labelled_texts(docs, own, rows)).select("y", *[c.alias(k) for k, c in columns.items()]).collect()
+    known = sorted(((r["y"] == 0, {k: r[k] for k in columns}) for r in found), key=lambda x: (x[0], *x[1].values()))
     known = [known[i] for i in sorted(range(len(known)), key=lambda i: (i * 2_654_435_761) % (1 << 32))]
     return learn([x for _, x in known], [y for y, _ in known])
 
