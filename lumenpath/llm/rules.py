@@ -105,12 +105,13 @@ def _bits(flags) -> int:
     return sum(1 << i for i, f in enumerate(flags) if f)
 
 
-def _threshold_tests(rows: list[dict], bad: list[bool], name: str) -> list[tuple]:
-    """((feature, at least, cut), rows that pass) at quantiles of all and of bad rows; one walk in ascending order."""
+def _threshold_tests(rows: list[dict], bad: list[bool], name: str, left: int) -> list[tuple]:
+    """((feature, at least, cut), rows that pass) at quantiles of the rows left, and of the bad ones among them; one walk in ascending order."""
     n = len(rows)
     order = sorted(range(n), key=lambda i: rows[i][name])
-    wrong = [i for i in order if bad[i]]
-    cuts = sorted({rows[v[round(k * (len(v) - 1) / THRESHOLDS)]][name] for v in (order, wrong) for k in range(THRESHOLDS + 1)})
+    still = [i for i in order if left >> i & 1]
+    wrong = [i for i in still if bad[i]]
+    cuts = sorted({rows[v[round(k * (len(v) - 1) / THRESHOLDS)]][name] for v in (still, wrong) if v for k in range(THRESHOLDS + 1)})
     out, below, at, every = [], 0, 0, (1 << n) - 1
     for cut in cuts:
         while at < n and rows[order[at]][name] < cut:
@@ -133,11 +134,13 @@ def learn(rows: list[dict], bad: list[bool]) -> list[Rule]:
         return []
     target, prune = _bits(bad), _bits(i % 3 == 0 for i in range(n))
     grow_rows = ((1 << n) - 1) & ~prune
-    tests = [t for name in rows[0] for t in _threshold_tests(rows, bad, name)]
     rules, left = [], (1 << n) - 1
     least = min(LEAST, max(2, target.bit_count() // 20))
     closed: set[str] = set()  # features that may not open a rule: none good enough came of them
+    fresh = -1  # the rows for which tests were made
     while len(rules) < RULES:
+        if fresh != left:
+            tests, fresh = [t for name in rows[0] for t in _threshold_tests(rows, bad, name, left)], left
         found = _grown(tests, left, target, grow_rows, closed)
         if not found:
             break
