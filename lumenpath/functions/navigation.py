@@ -49,6 +49,16 @@ def get_extension_value(c, this, args):
     return Coll("choice", variants=tuple((n.removeprefix("value"), v) for n, v in variants))
 
 
+def is_standard_extension(url):
+    """Whether an extension's URL is one of the specification's."""
+    return F.startswith(url, F.lit("http://hl7.org/fhir/"))
+
+
+def extension_name(url):
+    """The last part of an extension's URL."""
+    return F.substring_index(url, "/", -1)
+
+
 def reference_text(this: Coll) -> Coll:
     """Texts of references: the strings themselves, or objects' `reference`."""
     this = choice_item(this, "string")

@@ -36,6 +36,7 @@ class Element:
     value_set: str = ""
     constraints: tuple[Constraint, ...] = ()
     content_reference: str = ""
+    summary: bool = False
 
 
 @dataclass
@@ -66,7 +67,7 @@ def _element(e: dict) -> Element:
     binding, types = e.get("binding") or {}, e.get("type") or []
     constraints = tuple(Constraint(c.get("key", ""), c.get("severity", ""), c.get("human", ""), c.get("expression", ""), c.get("source", "")) for c in e.get("constraint") or [])
     targets = tuple(tuple(t.get("targetProfile") or ()) for t in types)
-    return Element(e.get("path", ""), int(e.get("min") or 0), str(e.get("max") or ""), tuple(map(_type_code, types)), targets, binding.get("strength", ""), binding.get("valueSet", ""), constraints, e.get("contentReference", ""))
+    return Element(e.get("path", ""), int(e.get("min") or 0), str(e.get("max") or ""), tuple(map(_type_code, types)), targets, binding.get("strength", ""), binding.get("valueSet", ""), constraints, e.get("contentReference", ""), bool(e.get("isSummary")))
 
 
 def parse(d: dict) -> Definition:
@@ -135,6 +136,11 @@ class Registry:
                 continue
         return n
 
+    def summary_fields(self, type_name: str) -> list[str]:
+        """Top-level elements that belong to a type's summary."""
+        d = self.of_type(type_name)
+        return [e.path.split(".")[1].removesuffix("[x]") for e in d.elements if e.summary and e.path.count(".") == 1] if d else []
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """One row for each element of each definition."""
         rows = [(d.url, d.type, e.path, e.min, e.max, list(e.types), e.strength, e.value_set) for d in self.by_url.values() for e in d.elements]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenpath.sources.definitions import Registry, schema_of
+
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = True) -> DataFrame:
     """Documents of JSON files: one a line, or one (or an array of them) a file. A schema saves a pass over the files."""
@@ -23,6 +25,23 @@ def parse(df: DataFrame, column: str, schema: T.StructType | str) -> DataFrame:
     return df.withColumn("_doc", F.from_json(column, schema, {"mode": "PERMISSIVE"})).select(*[c for c in df.columns if c != column], "_doc.*")
 
 
+def by_type(df: DataFrame, column: str, registry: Registry, types: list[str]) -> dict[str, DataFrame]:
+    """Frames with the typed fields of each type's documents, out of JSON texts of many types. An unknown type is an error."""
+    kind, out = F.get_json_object(column, "$.resourceType"), {}
+    for name in types:
+        if registry.of_type(name) is None:
+            raise KeyError(f"unknown resource type: {name}")
+        out[name] = parse(df.where(kind == name), column, schema_of(registry, name))
+    return out
+
+
+def summary(df: DataFrame, registry: Registry, type_name: str) -> DataFrame:
+    """The columns that belong to the type's summary, with type and id; choices in all their types."""
+    fields = registry.summary_fields(type_name)
+    keep = [c for c in df.columns if c in ("resourceType", "id") or any(c == f or (c.startswith(f) and c[len(f) :][:1].isupper()) for f in fields)]
+    return df.select(*[F.col(f"`{c}`") for c in keep])
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -21,8 +21,8 @@ def definitions() -> dict:
     key = {"key": "pat-1", "severity": "error", "human": "A name has a family or a given name", "expression": "family.exists() or given.exists()"}
     soft = {"key": "pat-2", "severity": "warning", "human": "Balances are not negative", "expression": "extension('http://example.org/balance').value.all($this >= 0)"}
     patient = [
-        _e("Patient.id", "id"), _e("Patient.contained", "Resource", 0, "*"), _e("Patient.extension", "Extension", 0, "*"), _e("Patient.active", "boolean"),
-        _e("Patient.name", "HumanName", 1, "2", constraint=[key]), _e("Patient.gender", "code", binding={"strength": "required", "valueSet": GENDERS + "|1.0"}),
+        _e("Patient.id", "id"), _e("Patient.contained", "Resource", 0, "*"), _e("Patient.extension", "Extension", 0, "*"), _e("Patient.active", "boolean", isSummary=True),
+        _e("Patient.name", "HumanName", 1, "2", constraint=[key], isSummary=True), _e("Patient.gender", "code", binding={"strength": "required", "valueSet": GENDERS + "|1.0"}),
         _e("Patient.birthDate", "date"), _e("Patient.multipleBirth[x]", "boolean integer"), {"path": "Patient.managingOrganization", "min": 0, "max": "1", "type": reference},
     ]
     root = {"path": "Patient", "min": 0, "max": "*", "constraint": [soft]}

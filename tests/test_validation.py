@@ -94,6 +94,23 @@ def test_definitions_from_files(tmp_path, spark):
     assert registry.of_type("Patient").url.endswith("/Patient")
 
 
+def test_documents_by_type_and_summaries(spark):
+    from lumenpath.functions.navigation import extension_name, is_standard_extension
+    from lumenpath.sources.documents import by_type, summary
+    from pyspark.sql import functions as F
+
+    registry = examples.registry()
+    df = spark.createDataFrame([(1, json.dumps(GOOD)), (2, '{"resourceType": "Basic", "code": "c"}'), (3, '{"resourceType": "Alien"}'), (4, "{")], "n long, json string")
+    found = by_type(df, "json", registry, ["Patient", "Basic"])
+    assert [r.n for r in found["Patient"].collect()] == [1] and found["Basic"].first().code == "c"
+    assert found["Patient"].first().name[0].family == "X"
+    with pytest.raises(KeyError):
+        by_type(df, "json", registry, ["Alien"])
+    assert summary(found["Patient"], registry, "Patient").columns == ["resourceType", "id", "active", "name"]
+    row = spark.range(1).select(is_standard_extension(F.lit("http://hl7.org/fhir/StructureDefinition/x")).alias("a"), extension_name(F.lit("http://e/y")).alias("b")).first()
+    assert row.a and row.b == "y"
+
+
 def test_terminology():
     from lumenpath.sources.terminology import Terminology
 
@@ -159,8 +176,11 @@ def test_document_helpers(spark):
     from lumenpath.operators import evaluate as E
     from lumenpath.sources import model as M
 
-    df = spark.range(4).select(F.col("id"), M.quantity(F.col("id") + 70, "kg").alias("valueQuantity"), M.concept("body weight").alias("code"), M.reference("Patient", F.col("id") % 2).alias("subject"), (F.col("id") % 2).alias("who"))
+    df = spark.range(4).select(F.col("id"), M.quantity(F.col("id") + 70, "kg").alias("valueQuantity"), M.concept("29463-7").alias("code"), M.reference("Patient", F.col("id") % 2).alias("subject"), (F.col("id") % 2).alias("who"))
     row = E.select(df, {"heavy": ("value > 72000 'g'", "boolean"), "code": ("code.coding.code", "text"), "who": ("subject.getReferenceKey('id')", "text")}, ("id",)).orderBy("id").collect()
     assert [r.heavy for r in row] == [False, False, False, True] and row[0].code == "29463-7" and row[3].who == "1"
+    assert len(M.CONCEPTS) == 44 and len(M.UNIT_CODES) == 33
+    made = df.select(M.quantity(F.lit(1), "mmHg").alias("q"), M.category("vital-signs").alias("c")).first()
+    assert made.q.code == "mm[Hg]" and made.c.coding[0].display == "Vital Signs"
     bundles = M.bundle(df, "who", F.concat(F.lit("urn:x:"), F.col("id").cast("string")))
     assert [r.n for r in E.select(bundles, {"n": ("entry.resource.count()", "integer")}).collect()] == [2, 2]
