@@ -1,13 +1,11 @@
-import re
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parent)]
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+from corpus_cases import SCHEMA, WORD  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -53,7 +51,7 @@ def sample():
 
 @pytest.fixture(scope="session")
 def docs(spark, sample):
-    return spark.createDataFrame(sample, SCHEMA).repartition(5).withColumn("block", __import__("pyspark").sql.functions.lit("clash"))
+    return spark.createDataFrame(sample, SCHEMA).repartition(5).selectExpr("*", "'clash' AS block")
 
 
 @pytest.fixture(scope="session")

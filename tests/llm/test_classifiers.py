@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from conftest import WORD
+from corpus_cases import WORD
 from pyspark.sql import functions as F
 
 from lumenpath.llm import langid, lmscore, mixing, quality, rules

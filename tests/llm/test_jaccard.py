@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from conftest import WORD
+from corpus_cases import WORD
 
 from lumenpath.llm import jaccard as J
 

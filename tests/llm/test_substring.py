@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from conftest import WORD
+from corpus_cases import WORD
 
 from lumenpath.llm.substring import WINDOW, duplicate_words, strip_duplicates
 
