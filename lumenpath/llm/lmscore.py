@@ -14,6 +14,8 @@ No target documents: the target model is the uniform one.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,9 @@ from lumenpath.llm.sparkutil import ship
 COMMON, M = 3, 4.0
 ROWS_PER_BLOCK = 2048
 _UNKNOWN = U64(0x7F4A7C15F39CC060)
-_MARKS = -1
+_MARKS, _TOTALS = -1, -2
+#: What the models need of all words.
+SIZES = ("n", "t", "n0", "t0", "v")
 
 
 def _words(table: pa.Table, letters: pa.Table):
@@ -82,11 +86,11 @@ def _unpack_counts(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return count, target
 
 
-def _letters(found, n, in_target, block: int, n_buckets: int, to_all: bool = False) -> pa.Table:
-    """Keys (five bytes each), counts and counts in the target; to owners without keys too, where all have to answer."""
+def _letters(found, n, in_target, block: int, n_buckets: int) -> pa.Table:
+    """Keys (five bytes each), counts and counts in the target."""
     at = np.searchsorted(found >> U64(40), np.arange(n_buckets + 1, dtype=U64))
     out = []
-    for b in range(n_buckets) if to_all else np.flatnonzero(np.diff(at)).tolist():
+    for b in np.flatnonzero(np.diff(at)).tolist():
         own = found[at[b] : at[b + 1]]
         body = B.pack([own.astype(np.uint32), (own >> U64(32)).astype(np.uint8)])
         out.append((b, block, 0, body + _pack_counts(n[at[b] : at[b + 1]], in_target[at[b] : at[b + 1]])))
@@ -129,21 +133,17 @@ def _post_words(n_buckets: int):
             return B.mail([])
         h, _, target = _words(table, letters)
         found, n, t, _ = _count(_keys(h, n_buckets), target)
-        return _letters(found, n, t, table["block"][0].as_py(), n_buckets, to_all=True)
+        return _letters(found, n, t, table["block"][0].as_py(), n_buckets)
 
     return run
 
 
-def _added_words(got: list[tuple[int, int, bytes]], bucket: int) -> list[tuple]:
-    """_added, after the owner's share of what the models need: tokens, unknown tokens (in all, in the target) and vocabulary."""
-    sizes, inverse, count, target = _sums([body for _, _, body in got])
+def _sizes(table: pa.Table) -> pa.Table:
+    """Of one owner's words: tokens, unknown tokens (in all, in the target) and vocabulary."""
+    _, _, count, target = _sums(table["body"].to_pylist())
     rare = count < COMMON
-    head = np.array([count.sum(), target.sum(), count[rare].sum(), target[rare].sum(), (~rare).sum()], np.int64).tobytes()
-    parts = np.split(inverse, np.cumsum(sizes)[:-1])
-    return [B.reply(block, bucket, head + _pack_counts(count[at], target[at])) for (block, _, _), at in zip(got, parts, strict=True)]
-
-
-_HEAD = 5 * 8
+    values = (count.sum(), target.sum(), count[rare].sum(), target[rare].sum(), (~rare).sum())
+    return pa.table({k: pa.array([int(v)]) for k, v in zip(SIZES, values, strict=True)})
 
 
 def _of(letters: pa.Table, first: int, n: int) -> list[tuple[int, bytes]]:
@@ -153,7 +153,7 @@ def _of(letters: pa.Table, first: int, n: int) -> list[tuple[int, bytes]]:
 def _known_words(h, target, letters, n_buckets):
     """Each word, or the unknown one; each word's number; counts of the numbered words; which of those are in the vocabulary."""
     found, _, _, inverse = _count(_keys(h, n_buckets), target)
-    count, in_target = _answered(found, [(b, body[_HEAD:]) for b, body in _of(letters, 0, n_buckets)], n_buckets)
+    count, in_target = _answered(found, _of(letters, 0, n_buckets), n_buckets)
     common = count >= COMMON
     return np.where(common[inverse], h, _UNKNOWN), inverse, count, in_target, common
 
@@ -180,8 +180,8 @@ def _score(n_buckets: int):
         pair, has = _pairs(words, bounds)
         found, _, _, number = _count(_keys(pair, n_buckets), target[has])
         both = _answered(found, _of(letters, n_buckets, n_buckets), n_buckets)
-        heads = [np.frombuffer(body, np.int64, 5) for _, body in _of(letters, 0, n_buckets)]
-        tokens, target_tokens, unknown_tokens, unknown_target, vocabulary = np.sum(heads, 0).tolist()
+        sizes = next(json.loads(body) for _, body in _of(letters, _TOTALS, 1))
+        tokens, target_tokens, unknown_tokens, unknown_target, vocabulary = (sizes[k] for k in SIZES)
         loss = []
         for uni, bi, total, unknown in ((count, both[0], tokens, unknown_tokens), (in_target, both[1], target_tokens, unknown_target)):
             own = np.where(common, uni, unknown)[inverse]
@@ -213,7 +213,9 @@ def score(docs: DataFrame, targets: DataFrame, rows_per_block: int = ROWS_PER_BL
     by_block = docs.select(block(key), key.alias("doc_id"), F.col("text").cast("string").alias("text")).groupBy("block")
     marks = targets.where(F.col("doc_id").isNotNull()).select(block(target), target.alias("doc_id")).groupBy("block").applyInArrow(_marks, B.MAIL)
     posted = by_block.cogroup(marks.groupBy("block")).applyInArrow(_post_words(n_buckets), B.MAIL)
-    words = marks.unionByName(B.owners(posted, _added_words, with_bucket=True))
+    totals = posted.groupBy("bucket").applyInArrow(_sizes, ", ".join(f"{k} long" for k in SIZES)).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in SIZES])
+    to_all = totals.select(F.lit(0).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(_TOTALS).alias("kind"), F.to_json(F.struct(*SIZES)).cast("binary").alias("body"))
+    words = marks.unionByName(B.owners(posted, _added, with_bucket=True)).unionByName(to_all)
     pairs = B.owners(by_block.cogroup(words.groupBy("block")).applyInArrow(_post_pairs(n_buckets), B.MAIL), _added, with_bucket=True)
     letters = words.unionByName(pairs.withColumn("kind", F.col("kind") + n_buckets))
     return by_block.cogroup(letters.groupBy("block")).applyInArrow(_score(n_buckets), _SCORED_DDL)

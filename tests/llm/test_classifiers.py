@@ -186,5 +186,7 @@ def test_lm_scores_equal_plain_models(spark, sample, no_docs):
         assert math.isclose(got[i].score, background[i] - target[i], abs_tol=1e-9)
     assert lmscore.score(no_docs, table).collect() == []
     assert lmscore.score(docs, table.where("doc_id < 0")).count() == len(rows)
+    blank = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
+    assert [(r.n_words, r.score) for r in lmscore.score(blank, table).collect()] == [(0, 0.0)] * 2
 
 
