@@ -27,6 +27,8 @@ from lumenpath.llm.subwords import Classifier, train
 TRAIN_ROWS = 3_000
 ITERATIONS, TOLERANCE, PULL = 60, 1e-4, 1e-3
 MOST_BUDGET = 4.0
+#: Rows that one task of an iteration passes over.
+ROWS_PER_PART = 500_000
 
 
 def _word_counts(texts) -> np.ndarray:
@@ -132,6 +134,8 @@ def fit_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], row
         return own.select("doc_id", "mark", words.alias("tokens"), F.lit(None).cast("string").alias("domain"), F.lit(0.0).alias("share"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
     shared = spark.sparkContext.broadcast(model)
     soft = checkpointed(own.mapInArrow(_posteriors(shared), "doc_id long, mark long, tokens long, posterior array<double>"))
+    parts = max(2 * spark.sparkContext.defaultParallelism, soft.count() // ROWS_PER_PART)
+    soft = soft.coalesce(parts)  # the posteriors are small beside the texts that they were made from
     n = len(model.labels)
     moments = _summed(soft, _moments)
     moments = moments.reshape(n, n) if moments.size else np.zeros((n, n))
