@@ -266,7 +266,6 @@ def _rooted(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame
 def jaccard_components(docs: DataFrame, percent: int = 85, k: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     rooted, _ = _rooted(docs, percent, k)
-    rooted = checkpointed(rooted)
     shared = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).where("docs > 1")
     first = checkpointed(shared.select("root", "first"))  # a table of its own, so that Spark can split a very large root in the join
     own = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
