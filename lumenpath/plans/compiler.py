@@ -371,7 +371,7 @@ class Compiler:
             return EMPTY
         a, b = self.pair(a, b)
         if op in "+-" and a.kind in ("date", "datetime") and b.kind == "quantity":
-            return Coll(a.kind, bound(a, b, lambda p, q: temporal.add(a.kind, p.col, q.col, 1 if op == "+" else -1, self.spec)))
+            return Coll(a.kind, bound(a, b, lambda p, q: temporal.add(a.kind, p.col, q.col, 1 if op == "+" else -1, self.spec, b.literal if isinstance(b.literal, str) else None)))
         if op in "+-" and a.kind == b.kind == "quantity":
             same = (a.col["unit"] == b.col["unit"]) | (a.col["unit"] == "") | (b.col["unit"] == "")
             value = F.round(a.col["value"] + b.col["value"] if op == "+" else a.col["value"] - b.col["value"], 12)
@@ -424,9 +424,9 @@ class Compiler:
     def text(self, c: Coll) -> Column:
         """An item as text."""
         if c.kind in ("date", "time", "datetime"):
-            return temporal.text(c.kind, c.col)
+            return let(c.col, lambda x: temporal.text(c.kind, x))
         if c.kind == "quantity":
-            return temporal.quantity_text(c.col)
+            return let(c.col, temporal.quantity_text)
         if c.kind == "decimal":
             return temporal.number_text(c.col)
         if c.kind == "object":

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenpath.functions.units import canonical, one_of
-from lumenpath.plans.coll import DATE, DATETIME, PARTS, TIME, Coll
+from lumenpath.plans.coll import DATE, DATETIME, PARTS, TIME, Coll, let
 
 DAY_MS = 86_400_000
 
@@ -93,26 +93,43 @@ def _amount(unit: Column, scales: dict[str, int], n: Column) -> Column:
     return out.otherwise(F.lit(0).cast("long"))
 
 
-def add(kind: str, x: Column, quantity: Column, sign: int, clamp: bool) -> Column:
-    """x plus or minus a calendar duration. A day past the month's end runs on, or is clamped to it."""
-    n, unit = F.floor(F.abs(quantity["value"])) * F.signum(quantity["value"]) * sign, quantity["unit"]
-    n = n.cast("long")
-    months = _amount(unit, {"year": 12, "month": 1}, n).cast("int")
-    days = _amount(unit, {"week": 7, "day": 1}, n).cast("int")
-    day = F.coalesce(x["d"], F.lit(1))
-    start = F.add_months(F.make_date(x["y"], F.lit(1), F.lit(1)), F.coalesce(x["m"], F.lit(1)) - 1 + months)
-    moved = F.least(day, F.dayofmonth(F.last_day(start))) if clamp else day
-    date = F.date_add(start, F.when(months != 0, moved).otherwise(day) - 1 + days)
+def add(kind: str, x: Column, quantity: Column, sign: int, clamp: bool, unit: str | None = None) -> Column:
+    """x plus or minus a calendar duration. A day past the month's end runs on, or is clamped to it.
+
+    unit: the duration's, where it is known when the plan is made; then only the steps that it needs are planned.
+    """
+    n = (F.floor(F.abs(quantity["value"])) * F.signum(quantity["value"]) * sign).cast("long")
+
+    def amount(scales: dict[str, int]) -> Column | None:
+        if unit is None:
+            return _amount(quantity["unit"], scales, n)
+        scale = scales.get(unit) or (scales.get(unit[:-1]) if unit.endswith("s") and unit != "ms" else None)
+        return n * scale if scale else None
+
+    months, days, ms = amount({"year": 12, "month": 1}), amount({"week": 7, "day": 1}), amount(_MS) if kind == "datetime" else None
     known = F.when(x.isNotNull() & quantity.isNotNull(), True)
+    if months is None and days is None and ms is None:
+        return F.when(known, x)
+    day, start = F.coalesce(x["d"], F.lit(1)), F.add_months(F.make_date(x["y"], F.lit(1), F.lit(1)), F.coalesce(x["m"], F.lit(1)) - 1)
+    if months is not None:
+        start = F.add_months(start, months.cast("int"))
+        if clamp:
+            day = F.when(months != 0, F.least(day, F.dayofmonth(F.last_day(start)))).otherwise(day)
+    date = F.date_add(start, day - 1 if days is None else (day - 1 + days).cast("int"))
     if kind == "date":
-        unchanged = (months == 0) & (days == 0)
-        made = F.struct(F.year(date).alias("y"), F.when(x["m"].isNotNull(), F.month(date)).alias("m"), F.when(x["d"].isNotNull(), F.dayofmonth(date)).alias("d"))
-        return F.when(known, F.when(unchanged, x).otherwise(made))
-    total = F.unix_date(date).cast("long") * DAY_MS + time_ms(x) + _amount(unit, _MS, n)
-    whole = F.floor(total / DAY_MS)
-    date, left = F.date_from_unix_date(whole.cast("int")), total - whole * DAY_MS
-    at = {"y": F.year(date), "m": F.month(date), "d": F.dayofmonth(date), "h": F.floor(left / 3_600_000), "mi": F.floor(left / 60_000) % 60, "s": F.floor(left / 1000) % 60, "ms": left % 1000}
-    return F.when(known, F.struct(*[(F.when(x[n].isNotNull(), at[n]) if n in at else x[n]).cast("int").alias(n) for n in DATETIME]))
+        made = let(date, lambda d: F.struct(F.year(d).alias("y"), F.when(x["m"].isNotNull(), F.month(d)).alias("m"), F.when(x["d"].isNotNull(), F.dayofmonth(d)).alias("d")))
+        if unit is None:
+            made = F.when((months == 0) & (days == 0), x).otherwise(made)
+        return F.when(known, made)
+    total = F.unix_date(date).cast("long") * DAY_MS + time_ms(x)
+
+    def parts(total: Column) -> Column:
+        whole = F.floor(total / DAY_MS)
+        date, left = F.date_from_unix_date(whole.cast("int")), total - whole * DAY_MS
+        at = {"y": F.year(date), "m": F.month(date), "d": F.dayofmonth(date), "h": F.floor(left / 3_600_000), "mi": F.floor(left / 60_000) % 60, "s": F.floor(left / 1000) % 60, "ms": left % 1000}
+        return F.struct(*[(F.when(x[p].isNotNull(), at[p]) if p in at else x[p]).cast("int").alias(p) for p in DATETIME])
+
+    return F.when(known, let(total if ms is None else total + ms, parts))
 
 
 _CLOCK = r"(\d\d)(?::(\d\d)(?::(\d\d)(?:\.(\d+))?)?)?"
