@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenpath.shipping import ship
 
-__all__ = ["checkpointed", "fresh", "read", "shared_folder", "ship", "stored"]
+__all__ = ["checkpointed", "fresh", "read", "release", "shared_folder", "ship", "stored"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def _release(spark: SparkSession) -> None:
+def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -33,7 +33,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(spark)
     out = df.checkpoint()
     del df
-    _release(spark)
+    release(spark)
     return out
 
 
@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    _release(spark)
+    release(spark)
     return spark.read.parquet(path)
 
 
