@@ -2,7 +2,9 @@
 
 1. A classifier learned from a bounded sample of a labelled table (doc_id, domain) gives every document a posterior over domains.
 2. Nonnegative document rates r are fitted so that the expected tokens of each domain, sum of r_i * tokens_i * posterior_i, match the targets:
-   least squares by projected gradient with momentum. It is preconditioned by tokens, and drawn with a small weight to rate 1.
+   least squares by projected gradient with momentum. It is preconditioned by tokens, and drawn with a small weight to rate 1; a domain's
+   miss counts relative to its share, so that a rare domain is fitted as well as a common one. What the fit misses in the end, and target
+   domains that the classifier never saw, are told in a warning.
    An iteration is one pass over the posteriors: a document's rate follows from its posterior and the past residuals (one number for each domain
    and iteration), so rates are never stored or moved, and only sums of one number a domain come to the driver.
 3. `sample` makes the rates take effect: floor(rate) copies, and one more with the rest as probability, decided by a hash of the document.
@@ -13,6 +15,8 @@ An empty table gives no rows. Without labelled rows every rate is 1. Further col
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +30,8 @@ from lumenpath.llm.subwords import Classifier, train
 #: The bound of the labelled sample.
 TRAIN_ROWS = 3_000
 ITERATIONS, TOLERANCE, PULL = 60, 1e-4, 1e-3
-MOST_BUDGET = 4.0
+#: Shares below this count as this; a gap over MISS of a domain's target is told.
+LEAST_SHARE, MISS = 1e-6, 0.01
 #: Rows that one task of an iteration passes over.
 ROWS_PER_PART = 500_000
 
@@ -123,7 +128,7 @@ def fit_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], row
     """doc_id, mark (a hash of the text), tokens, domain (the likeliest), share (its posterior), posterior (by sorted domain), rate.
 
     weights: the wished share of tokens of each domain (others: 0); budget: the mixture's tokens, as a multiple of those of docs, or None:
-    as many as need no domain to shrink (MOST_BUDGET at most); least: no rate is below it (1: no document is dropped).
+    as many as need no domain to shrink; least: no rate is below it (1: no document is dropped).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -142,23 +147,31 @@ def fit_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], row
     total = moments.sum() or 1.0  # posteriors sum to 1, so this is all tokens
     wished = np.array([max(0.0, weights.get(x, 0.0)) for x in model.labels])
     wished = wished / (wished.sum() or 1.0)
+    unseen = sorted(x for x, w in weights.items() if w > 0 and x not in model.labels)
+    if unseen:
+        warnings.warn(f"mixing: no labelled document of {', '.join(unseen)}; the other targets share their weight", stacklevel=2)
+    share = moments.sum(1) / total
     if budget is None:
-        share = moments.sum(1) / total
-        budget = min(MOST_BUDGET, max([1.0, *(share[wished > 0] / wished[wished > 0])]))
+        budget = max([1.0, *(share[wished > 0] / wished[wished > 0])])
     wished = budget * wished
-    step = 1 / (float(np.linalg.eigvalsh(moments / total).max()) + PULL + 1e-12)
+    scale = 1 / np.maximum(share, LEAST_SHARE)
+    step = 1 / (float(np.linalg.eigvalsh(moments / total * np.sqrt(np.outer(scale, scale))).max()) + PULL + 1e-12)
     past: list[tuple[np.ndarray, float]] = []
     t, last = 1.0, np.inf
-    for _ in range(ITERATIONS):
+    for k in range(ITERATIONS + 1):
         sums = _summed(soft, _totals(past, step, least))
         sums = sums / total if sums.size else np.zeros(2 * n)
-        gap = float(np.abs(sums[n:] - wished).max())
-        if past and (gap < TOLERANCE or abs(last - gap) < TOLERANCE * 1e-2):
+        gaps = sums[n:] - wished
+        gap = float(np.abs(gaps).max())
+        if k == ITERATIONS or (past and (gap < TOLERANCE or abs(last - gap) < TOLERANCE * 1e-2)):
             break
         last = gap
         ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        past.append((sums[:n] - wished, (t - 1) / ahead))
+        past.append(((sums[:n] - wished) * scale, (t - 1) / ahead))
         t = ahead
+    missed = [f"{x} {w + g:.4f} for {w:.4f}" for x, w, g in zip(model.labels, wished, gaps, strict=True) if abs(g) > max(TOLERANCE, MISS * w)] if moments.any() else []
+    if missed:
+        warnings.warn(f"mixing: tokens as a multiple of those of docs miss their targets: {', '.join(missed)}", stacklevel=2)
     return soft.mapInArrow(_final(model.labels, past, step, least), _RATED)
 
 

@@ -1,7 +1,9 @@
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from corpus_cases import WORD
 from pyspark.sql import functions as F
 
@@ -131,6 +133,25 @@ def test_mixing_meets_targets(spark):
     assert out.count() >= docs.count()
 
 
+@pytest.mark.parametrize("weights, how", [({"a": 0.1, "b": 0.88, "rare": 0.02}, {"budget": None, "least": 1.0}), ({"a": 0.6, "b": 0.38, "rare": 0.02}, {})])
+def test_mixing_of_skewed_shares(spark, weights, how):
+    rng = random.Random(4)  # a has 0.85 of all tokens, rare 0.001
+    rows = [(i, " ".join(f"{x}{rng.choice('klmnop')}{x}" for _ in range(n)), x) for i, (x, n) in enumerate([("a", 120)] * 340 + [("b", 120)] * 60 + [("rare", 12)] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    rated = mixing.fit_rates(docs.drop("domain"), docs.select("doc_id", "domain"), weights, **how).collect()
+    got = [sum(r.rate * r.tokens * r.posterior[k] for r in rated) for k in range(3)]
+    for name, x in zip(sorted(weights), got, strict=True):
+        assert abs(x / sum(got) - weights[name]) < 0.05 * weights[name], (name, x / sum(got))
+
+
+def test_mixing_tells_what_it_misses(spark):
+    rows = [(i, f"word{i % 7} more text", "a" if i % 2 else "b") for i in range(40)]  # the texts do not tell the domains apart
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    with pytest.warns(UserWarning) as told:
+        mixing.fit_rates(docs.drop("domain"), docs.select("doc_id", "domain"), {"a": 0.98, "b": 0.01, "c": 0.01})
+    assert any("labelled document of c" in str(w.message) for w in told) and any("miss their targets" in str(w.message) for w in told)
+
+
 def test_mixing_cases(spark, docs, sample, no_docs):
     labels = docs.where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("domain"))
     rated = mixing.fit_rates(docs, labels, {"en": 1.0, "fr": 1.0})
