@@ -281,6 +281,6 @@ def keep_one(docs: DataFrame, percent: int = 85, k: int = SHINGLE) -> DataFrame:
     own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(mark, F.xxhash64("text"))
     keep = keep.select(F.col("doc_id").alias(key), F.col("mark").alias(mark))
     kept = own.join(keep, [key, mark])
-    again = F.when(F.length(F.trim(F.coalesce(F.col("text"), F.lit("")))) == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    again = F.when(F.length(F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(" \t\n\x0b\f\r"))) == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
     (twin,) = fresh(kept, "twin")
     return kept.withColumn(twin, again).dropDuplicates([key, mark, twin]).select(*[F.col(f"`{c}`") for c in docs.columns])

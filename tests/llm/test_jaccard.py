@@ -75,6 +75,12 @@ def test_keep_one(docs, sample):
     assert sum(1 for r in rows if not WORD.search(r.text or "")) == sum(1 for r in sample if not WORD.search(r[1] or ""))
 
 
+def test_keep_one_keeps_texts_of_white_space(spark):
+    rows = [(None, "\n\t"), (None, "\n\t"), (1, "\x0b\x0c\r "), (1, "\x0b\x0c\r "), (2, "a word"), (2, "a word")]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(rows[:5])
+
+
 def test_empty_table(no_docs):
     assert J.jaccard_components(no_docs).collect() == []
     assert J.keep_one(no_docs).collect() == []
