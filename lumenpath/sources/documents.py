@@ -47,8 +47,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as Patient documents. Nations are 25 rows by definition, so they are broadcast."""
-    nation = F.broadcast(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name").limit(1000))
+    """Customers as Patient documents. Nations are 25 rows by definition, so Spark broadcasts them."""
+    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     c = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     no = F.lit(None)

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from lumenpath import queries as Q
+from lumenpath.sources import documents
 
 DIR = "/root/testdata/sf0.001"
 
@@ -37,3 +38,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_patients_of_many_nations(spark, tmp_path):
+    spark.range(1500).selectExpr("id AS n_nationkey", "concat('nation', id) AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1500).selectExpr("id AS c_custkey", "id AS c_nationkey", "'x' AS c_name", "'y' AS c_mktsegment", "1.0 AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    assert documents.patients(spark, str(tmp_path)).where("address[0].country = concat('nation', id)").count() == 1500
