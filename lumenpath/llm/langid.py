@@ -3,8 +3,9 @@
 The classifier learns from a bounded sample of labelled rows and then scores every text whole. `accepted` is false where the calibrated
 probability is below the threshold at which held-back pieces reach the wished precision.
 
-Null text, or a text without a letter: 'und', score 0, not accepted. Further columns are ignored. Repeated rows are scored each.
-No labelled rows: every text is 'und'.
+Null text, or a text without a letter: 'und', score 0, not accepted. Further columns are ignored. Repeated rows are scored each; the sample has one
+of each doc_id. A very long text is counted and scored whole, about a megabyte at a time. Ties of labels go to the first in order.
+No labelled rows: every text is 'und'. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenpath.llm.samples import smallest
+from lumenpath.llm.samples import labelled_texts
 from lumenpath.llm.sparkutil import ship
-from lumenpath.llm.subwords import Classifier, train
+from lumenpath.llm.subwords import Classifier, learned
 
 UNKNOWN = "und"
 #: The bound of the sample.
@@ -25,12 +26,9 @@ TRAIN_ROWS = 4_000
 
 def fit(docs: DataFrame, learn: Column, label: str = "lang", rows: int = TRAIN_ROWS) -> Classifier | None:
     """A classifier of `label`, learned from at most `rows` rows of docs for which `learn` holds."""
-    ids = docs.where(learn & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id")
-    few = F.broadcast(smallest(ids, "doc_id", rows).select(F.col("doc_id").alias("_of")))
     own = docs.where(learn & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("y"))
-    found = own.join(few, own["doc_id"] == few["_of"]).select("text", "y").collect()
-    found = found if len(found) <= 2 * rows else found[: 2 * rows]  # more only by rows that share their ids
-    return train([(r["text"], r["y"]) for r in found]) if found else None
+    ship(docs.sparkSession)
+    return learned(labelled_texts(own, own.select("doc_id", "y"), rows))
 
 
 def _predict(model):

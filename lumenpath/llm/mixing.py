@@ -9,8 +9,8 @@
    and iteration), so rates are never stored or moved, and only sums of one number a domain come to the driver.
 3. `sample` makes the rates take effect: floor(rate) copies, and one more with the rest as probability, decided by a hash of the document.
 
-Null text: no tokens; it has the prior's posterior, no influence on the fit, and its rate is what its posterior gives. Repeated rows are documents each.
-An empty table gives no rows. Without labelled rows every rate is 1. Further columns are ignored by `fit_rates`, kept by `sample`.
+Null or empty text: no tokens; it has the prior's posterior, no influence on the fit, and its rate is what its posterior gives. Repeated rows are documents each;
+the labelled sample has one of each doc_id. A very long text is counted a run at a time. Ties of domains go to the first in order. An empty table gives no rows. Without labelled rows every rate is 1. Further columns are ignored by `fit_rates`, kept by `sample`.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenpath.llm.arrays import SPACE, row_sums, text_column
+from lumenpath.llm.arrays import SPACE, row_sums, runs, text_column
 from lumenpath.llm.samples import labelled_texts
 from lumenpath.llm.sparkutil import checkpointed, fresh, ship
-from lumenpath.llm.subwords import Classifier, train
+from lumenpath.llm.subwords import Classifier, learned
 
 #: The bound of the labelled sample.
 TRAIN_ROWS = 3_000
@@ -37,20 +37,24 @@ ROWS_PER_PART = 500_000
 
 
 def _word_counts(texts) -> np.ndarray:
-    data, offsets = text_column(texts)
-    solid = ~SPACE[data]
-    begin = solid.copy()
-    if len(data):
-        begin[1:] &= ~solid[:-1]
-        rows = offsets[:-1][offsets[1:] > offsets[:-1]]
-        begin[rows] = solid[rows]
-    return row_sums(begin.astype(np.int64), offsets)
+    every, offsets = text_column(texts)
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for i, j in runs(offsets):
+        data, at = every[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        solid = ~SPACE[data]
+        begin = solid.copy()
+        if len(data):
+            begin[1:] &= ~solid[:-1]
+            rows = at[:-1][at[1:] > at[:-1]]
+            begin[rows] = solid[rows]
+        out[i:j] = row_sums(begin.astype(np.int64), at)
+    return out
 
 
 def learn_domains(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier | None:
     """A classifier of labels (doc_id, domain), from at most `rows` of its rows."""
-    found = labelled_texts(docs, labels.where(F.col("domain").isNotNull()).select("doc_id", "domain"), rows).select("text", "domain").collect()
-    return train([(r["text"], r["domain"]) for r in found], short=0, epochs=10) if found else None
+    own = labels.where(F.col("domain").isNotNull()).select("doc_id", F.col("domain").cast("string").alias("y"))
+    return learned(labelled_texts(docs, own, rows), epochs=10, short=0)
 
 
 def _posteriors(shared):

@@ -7,7 +7,8 @@ import pytest
 from corpus_cases import WORD
 from pyspark.sql import functions as F
 
-from lumenpath.llm import langid, lmscore, mixing, quality, rules
+from lumenpath.llm import langid, lmscore, mixing, quality, rules, subwords
+from lumenpath.llm.samples import labelled_texts
 
 
 def test_language_held_out(spark):
@@ -211,3 +212,93 @@ def test_lm_scores_equal_plain_models(spark, sample, no_docs):
     assert [(r.n_words, r.score) for r in lmscore.score(blank, table).collect()] == [(0, 0.0)] * 2
 
 
+
+
+def test_samples_keep_their_bound(spark):
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(600)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 3, k) for k in range(30)] + [(None, 1), (9, 1)], "doc_id long, y int")
+    for bound in (1, 2, 50):
+        got = labelled_texts(docs, labels, bound).collect()
+        assert len(got) <= min(bound, 3) and all(r.y == int(r.text.split()[1]) % 3 for r in got)
+    assert len(labelled_texts(docs, labels, 50).collect()) == 3
+    assert sorted(map(tuple, labelled_texts(docs, labels, 2).collect())) == sorted(map(tuple, labelled_texts(docs.repartition(7), labels.repartition(5), 2).collect()))
+
+
+def plain_subwords(text):
+    """Counts of buckets by a loop over all positions."""
+    data = bytearray(text.encode())
+    for i, b in enumerate(data):
+        if i and data[i - 1] == 0xC3 and 0x80 <= b <= 0x9E:
+            data[i] += 32
+    code = [32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in data]
+    out = {}
+    for size in subwords.SIZES:
+        for i in range(len(code) - size + 1):
+            h = code[i]
+            for c in code[i + 1 : i + size]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+            h = (h + size) * 0x9E3779B1 & 0xFFFFFFFF
+            out[h >> 32 - subwords.BITS] = out.get(h >> 32 - subwords.BITS, 0) + 1
+    return out
+
+
+def plain_posterior(model, text):
+    counts = plain_subwords(text)
+    total = max(1, sum(counts.values()))
+    x = [(sum(n * float(model.value[b, k]) for b, n in counts.items()) / total + float(model.bias[k])) / model.temperature for k in range(len(model.labels))]
+    top = max(x)
+    return [math.exp(v - top) / sum(math.exp(w - top) for w in x) for v in x]
+
+
+def test_language_scores_equal_a_plain_loop(spark, docs, sample, monkeypatch):
+    model = langid.fit(docs, F.lit(True))
+    texts = {r[0]: r[1] for r in sample if r[0] is not None and r[0] >= 1200} | {r[0]: r[1] for r in sample[:12]}
+    want = {k: plain_posterior(model, t) for k, t in texts.items() if t and any(c.isalpha() for c in t)}
+    got = {r.doc_id: r for r in langid.identify(docs.where(F.col("doc_id").isin(list(want))), model).collect() if r.doc_id}
+    for k in got:
+        assert math.isclose(got[k].score, max(want[k]), rel_tol=1e-4) and got[k].lang_pred == model.labels[want[k].index(max(want[k]))]
+    text = " ".join(r[1] or "" for r in sample)[:30_000] + "É"
+    counted = subwords._counts(text.encode())
+    monkeypatch.setattr(subwords, "RUN_BYTES", 1000)
+    assert subwords._counts(text.encode()) == counted
+    plain = plain_subwords(text)
+    total = sum(plain.values())
+    assert {int(b): round(float(n) * total) for b, n in zip(*subwords._uncounted(counted), strict=True)} == plain
+    assert np.allclose(model.posteriors(pa.array([text])), [plain_posterior(model, text)], rtol=1e-4)
+
+
+def plain_rates(tokens, posteriors, wished, total):
+    """Projected gradient on one table, with many small steps: the same objective as the operator's."""
+    share = tokens @ posteriors / total
+    scale = 1 / np.maximum(share, mixing.LEAST_SHARE)
+    moments = (posteriors * tokens[:, None]).T @ posteriors / total
+    step = 0.5 / (np.linalg.eigvalsh(moments * np.sqrt(np.outer(scale, scale))).max() + mixing.PULL)
+    rate = np.ones(len(tokens))
+    for _ in range(20_000):
+        residual = ((rate * tokens) @ posteriors / total - wished) * scale
+        rate = np.maximum(0, rate - step * (posteriors @ residual + mixing.PULL * (rate - 1)))
+    return rate
+
+
+def test_mixing_equals_plain_least_squares(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    weights = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
+    rows = mixing.fit_rates(docs, docs.select("doc_id", F.col("lang").alias("domain")), weights).collect()
+    tokens, posteriors = np.array([r.tokens for r in rows], float), np.array([r.posterior for r in rows])
+    wished = np.array([weights[k] for k in sorted(weights)])
+    rate = plain_rates(tokens, posteriors, wished, tokens.sum())
+    got = np.array([r.rate for r in rows])
+    mine, plain = ((x * tokens) @ posteriors / tokens.sum() for x in (got, rate))
+    assert np.abs(mine - plain).max() < 1e-3 and np.abs(got - rate).max() < 0.05
+
+
+def test_a_very_long_text(spark):
+    """Three megabytes in one row, beside a short one."""
+    docs = spark.createDataFrame([(1, "Ein langer Text und noch viel mehr davon. " * 75_000, "de"), (2, "a short one", "en"), (3, "another one", "en")], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}[1] == "de"
+    rated = mixing.fit_rates(docs, docs.select("doc_id", F.col("lang").alias("domain")), {"de": 0.5, "en": 0.5}).collect()
+    assert {r.doc_id: r.tokens for r in rated} == {1: 600_000, 2: 3, 3: 2}
+    forest = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert quality.scores(docs, forest).count() == 3
+    assert {r.doc_id: r.n_words for r in rules.judge(docs, []).collect()}[1] == 600_000
