@@ -163,14 +163,9 @@ def exclude(c, this, args):
     return x.with_col(F.filter(x.col, lambda v: ~c.is_in(y, v)))
 
 
-def _spread(this):
-    """A choice whose variants stay apart; other collections as arrays."""
-    return this if this.kind in ("choice", "empty") or not this.many else this
-
-
 @function("first")
 def first_(c, this, args):
-    return _each_variant(this, first) if this.kind == "choice" else first(_spread(this))
+    return _each_variant(this, first) if this.kind == "choice" else first(this)
 
 
 @function("last")

@@ -54,14 +54,32 @@ def _literal(c, node, this):
 
 
 def _pattern(c, node, this):
-    known = _literal(c, node, this)
+    """A pattern as a column. One that isn't known before rows are read is null where it is none, so that a row can't end the job."""
+    known, col = _literal(c, node, this), _argument(c, node, this)
     if known is not None:
-        check_pattern(known)
-        try:
-            re.compile(known)
-        except re.error as e:
-            raise InvalidArguments(f"pattern: {e}") from e
-    return _argument(c, node, this)
+        _groups(known)
+        return col
+    if col is None:
+        return None
+    good = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), col, F.lit("")).isNotNull()
+    return F.when(good & (F.length(col) <= LONGEST_PATTERN), col)
+
+
+def _groups(pattern: str) -> int:
+    """How many groups a pattern has."""
+    check_pattern(pattern)
+    try:
+        return re.compile(pattern).groups
+    except (re.error, OverflowError, RecursionError) as e:
+        raise InvalidArguments(f"pattern: {e}") from e
+
+
+def _replacement(new, groups: int):
+    """Java's form of a replacement: $n and ${n} are groups, empty where the pattern has no such group; other signs stand for themselves."""
+    new = F.replace(new, F.lit("\\"), F.lit("\\\\"))
+    new = F.regexp_replace(F.regexp_replace(new, r"\$\{([0-9]+)\}", r"\$$1"), r"\$\{\w+\}", "")
+    missing = r"[1-9][0-9]*" if not groups else rf"(?:[{groups + 1}-9](?![0-9])|[1-9][0-9]+)" if groups < 9 else r"[1-9][0-9]+"
+    return F.regexp_replace(F.regexp_replace(new, rf"\${missing}", ""), r"\$(?![0-9])", r"\\\$")
 
 
 def _with_one(name, kind, apply, argument=_argument):
@@ -109,10 +127,8 @@ def replace_matches(c, this, args):
     x, pattern, new = _text(c, this), _pattern(c, args[0], this), _argument(c, args[1], this)
     if x is None or pattern is None or new is None:
         return EMPTY
-    known = _literal(c, args[1], this)
-    if known is not None:
-        new = F.lit(re.sub(r"\$\{(\d+)\}", r"$\1", known.replace("\\", "\\\\")))
-    return Coll("string", F.regexp_replace(x, pattern, new))
+    known = _literal(c, args[0], this)
+    return Coll("string", F.regexp_replace(x, pattern, _replacement(new, 0 if known is None else _groups(known))))
 
 
 @function("substring", 1, 2)

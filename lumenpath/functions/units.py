@@ -70,14 +70,28 @@ def _table(entries: dict[str, tuple[str, float]]) -> Column:
     return F.expr("map(" + ", ".join(f"{quote(u)}, named_struct('code', {quote(c)}, 'factor', {f!r}D)" for u, (c, f) in entries.items()) + ")")
 
 
-def canonical(unit: Column, literal: str | None = None) -> tuple[Column, Column]:
-    """(code, factor) of a unit column, or of a unit that is known when the plan is made."""
+def _entry(unit: Column) -> Column:
+    return F.coalesce(F.try_element_at(_table(CANONICAL), unit), F.try_element_at(_table(_FOLDED), F.lower(unit)))
+
+
+def canonical(unit: Column, literal: str | None = None, system: Column | None = None) -> tuple[Column, Column]:
+    """(code, factor) of a unit column, or of a unit that is known when the plan is made; units of another system stay as they are."""
     if literal is not None:
         factor, code = normalize(1.0, literal)
         return F.lit(code), F.lit(factor)
-    found = F.coalesce(F.try_element_at(_table(CANONICAL), unit), F.try_element_at(_table(_FOLDED), F.lower(unit)))
+    found = _entry(unit) if system is None else F.when(one_of(F.coalesce(system, F.lit("")), ("", SYSTEM)), _entry(unit))
     return F.coalesce(found["code"], unit), F.coalesce(found["factor"], F.lit(1.0))
 
 
+def known(unit: Column) -> Column:
+    """Whether a unit has a canonical form."""
+    return _entry(unit).isNotNull()
+
+
+def scaled(quantity: Column, factor: Column) -> Column:
+    """A quantity, factor times as much, in its own unit."""
+    return F.struct((quantity["value"] * factor).alias("value"), quantity["unit"].alias("unit"))
+
+
 def one_of(column: Column, values) -> Column:
     return reduce(lambda a, b: a | b, [column == v for v in values])

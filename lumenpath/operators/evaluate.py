@@ -55,10 +55,11 @@ def select(df: DataFrame, columns: dict[str, str | tuple[str, str]], keep: tuple
     """One column for each expression, or (expression, form), besides the columns to keep."""
     c = compiler(df, **options)
     made = []
-    for name, what in columns.items():
+    for k, what in enumerate(columns.values()):
         expression, form = (what, "items") if isinstance(what, str) else what
-        made.append(result(c, c.compile(expression), form).alias(name))
-    return df.select(*[F.col(f"`{k}`") for k in keep], *made)
+        made.append(result(c, c.compile(expression), form).alias(f"_made{k}"))
+    found = df.select(*[F.col(f"`{k}`") for k in keep], *made)  # names of their own: an alias like a field's name would stand for the field in lambdas
+    return found.select(*[F.col(f"`{k}`") for k in keep], *[F.col(f"_made{k}").alias(name) for k, name in enumerate(columns)])
 
 
 def where(df: DataFrame, expression: str, **options) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,23 +12,32 @@ from lumenpath.functions.navigation import reference_key, reference_text
 from lumenpath.operators.evaluate import compiler
 from lumenpath.plans.coll import Coll, to_many
 
-#: Forms of references, in the order in which they are tried.
-CONTAINED = r"^#([A-Za-z0-9\-.]+)$"
-RELATIVE = r"^([A-Za-z]+)/([A-Za-z0-9\-.]+)$"
-URN_UUID = r"^urn:uuid:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-URN_OID = r"^urn:oid:[012](\.\d+)+$"
-ABSOLUTE = r"^https?://[^/]+/.*/([A-Za-z]+)/([A-Za-z0-9\-.]+)$"
+#: Forms of references, in the order in which they are tried; a whole text has to match, a newline at its end included.
+CONTAINED = r"#([A-Za-z0-9\-.]+)"
+RELATIVE = r"([A-Za-z]+)/([A-Za-z0-9\-.]+)"
+URN_UUID = r"urn:uuid:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+URN_OID = r"urn:oid:[012](\.\d+)+"
+ABSOLUTE = r"https?://[^/]+/.*/([A-Za-z]+)/([A-Za-z0-9\-.]+)"
+
+
+def matched(form: str, text: str) -> re.Match | None:
+    return re.fullmatch(form, text, re.ASCII)
+
+
+def _whole(form: str) -> str:
+    return rf"\A{form}\z"
 
 
 def parse_reference(text: Column) -> Column:
     """<form, resource_type, id, version> of a reference."""
-    web = text.rlike("^https?://")
+    web = text.rlike(r"\Ahttps?://")
+    fits = lambda p: text.rlike(_whole(p))
     form = (
-        F.when(text.rlike(CONTAINED), "contained").when(text.rlike(RELATIVE), "relative").when(text.rlike(URN_UUID), "uuid").when(text.rlike(URN_OID), "oid")
-        .when(text.rlike(ABSOLUTE), "absolute").when(web, "canonical").otherwise("invalid")
+        F.when(fits(CONTAINED), "contained").when(fits(RELATIVE), "relative").when(fits(URN_UUID), "uuid").when(fits(URN_OID), "oid")
+        .when(fits(ABSOLUTE), "absolute").when(web, "canonical").otherwise("invalid")
     )
-    part = lambda p, k: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
-    id_ = F.coalesce(part(CONTAINED, 1), part(RELATIVE, 2), part(ABSOLUTE, 2), F.when(text.rlike(URN_UUID) | text.rlike(URN_OID), F.substring_index(text, ":", -1)))
+    part = lambda p, k: F.nullif(F.regexp_extract(text, _whole(p), k), F.lit(""))
+    id_ = F.coalesce(part(CONTAINED, 1), part(RELATIVE, 2), part(ABSOLUTE, 2), F.when(fits(URN_UUID) | fits(URN_OID), F.substring_index(text, ":", -1)))
     version = F.when(form == "canonical", F.when(F.contains(text, F.lit("|")), F.substring_index(text, "|", -1)))
     return F.when(text.isNotNull(), F.struct(form.alias("form"), F.coalesce(part(RELATIVE, 1), part(ABSOLUTE, 1)).alias("resource_type"), id_.alias("id"), version.alias("version")))
 

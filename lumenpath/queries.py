@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenpath import rule_queries
 from lumenpath.operators import evaluate, references
 from lumenpath.sources import documents
 
@@ -238,6 +239,43 @@ QUERIES: dict[str, Query] = {
     "tree": _q("Patient", c=("name.children()", "count", "4::BIGINT"), d=("address.descendants()", "text", "n_name"), r=("name[1].repeat(given)", "text", "c_mktsegment")),
     "variables": _q("Patient", a=("%limit < balance", "boolean", "c_acctbal > 1000"), b=("%resource.id = id", "boolean", "true"), c=("%`label` & id", "text", "'no ' || c_custkey"), t=("id.trace('seen')", "text", "CAST(c_custkey AS VARCHAR)")),
 }
+QUERIES["set_functions"] = _q(
+    "Observation",
+    u=("(1 | 2).union(%resource.line).count()", "integer", "(CASE WHEN l_linenumber IN (1, 2) THEN 2 ELSE 3 END)::BIGINT"),
+    a=("line.as(Integer)", "integer", "l_linenumber::BIGINT"),
+    q=("value.as(Quantity).value", "decimal", "CASE WHEN l_returnflag <> 'R' THEN l_quantity::DOUBLE END"),
+    n=("line.as(string)", "exists", "false"),
+    j=("component.code", "json", "'[\"price\",\"discount\",\"tax\"]'"),
+)
+QUERIES["clock"] = _q(
+    "Encounter",
+    n=("now() > @2020-01-01T00:00:00Z", "boolean", "true"),
+    t=("today() >= @2020-01-01", "boolean", "true"),
+    e=("today() = today() and now() = now()", "boolean", "true"),
+    d=("timeOfDay() >= @T00:00:00.000", "boolean", "true"),
+    y=("now().year() >= 2020", "boolean", "true"),
+)
+QUERIES["patterns"] = _q(
+    "Patient",
+    p=("name[0].family.matches('#0*' & %resource.id & '$')", "boolean", "true"),
+    b=("name[0].family.matches('(' & %resource.id)", "boolean", "NULL::BOOLEAN"),
+    m=("name[0].family.replaceMatches('([0-9])$', '<$1$2>')", "text", "regexp_replace(c_name, '([0-9])$', '<\\1>')"),
+    d=("id.replaceMatches('[0-9]+', '5$')", "text", "'5$'"),
+    x=("id.convertsToDateTime()", "boolean", "true"),
+    i=("id.toTime()", "text", "CAST(c_custkey AS VARCHAR)"),
+)
+_TIMES = _q(
+    "Observation",
+    h=("('1' & line.toString() & ':20:30.250').toTime().hour()", "integer", "(10 + l_linenumber)::BIGINT"),
+    m=("('10:0' & line.toString() & ':30.250').toTime().minute()", "integer", "l_linenumber::BIGINT"),
+    s=("('10:20:0' & line.toString() & '.250').toTime().second()", "integer", "l_linenumber::BIGINT"),
+    z=("('10:20:30.25' & line.toString()).toTime().millisecond()", "integer", "(250 + l_linenumber)::BIGINT"),
+    d=("(effective & 'T10:20:30Z').toDateTime().hour()", "integer", "10::BIGINT"),
+    c=("@2024-01-31 + 1 month = @2024-02-29", "boolean", "true"),
+    u=("(1 | 1 | line).count()", "integer", "(CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END)::BIGINT"),
+    e=("component.where(code = 'none').value.sum()", "exists", "false"),
+)
+QUERIES["spec_mode"] = Query("Observation", _TIMES.columns, _TIMES.sql, {"spec": True})
 QUERIES["variables"] = Query("Patient", QUERIES["variables"].columns, QUERIES["variables"].sql, {"variables": {"limit": 1000, "label": "no "}})
 
 
@@ -274,7 +312,7 @@ def issues_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("status", "code").agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
-def _patient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def patient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as JSON documents, with faults that follow from their keys."""
     from pyspark.sql import functions as F
 
@@ -302,7 +340,7 @@ def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenpath.sources import examples
 
     options = Options(terminology=True, references=True)
-    return issues(_patient_texts(spark, sf_dir), "json", examples.registry(), options, examples.terminology(), ("number",))
+    return issues(patient_texts(spark, sf_dir), "json", examples.registry(), options, examples.terminology(), ("number",))
 
 
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +374,7 @@ def dynamic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from lumenpath.operators import dynamic
 
-    df = _patient_texts(spark, sf_dir)
+    df = patient_texts(spark, sf_dir)
     got = dynamic.select(df, "json", {"family": "Patient.name.family.distinct()", "n": "name.count()", "old": "birthDate.toDate() < @1990-12-02"})
     return got.select("number", F.array_join("family", ",").alias("family"), F.array_join("n", ",").alias("n"), F.array_join("old", ",").alias("old"))
 
@@ -385,9 +423,9 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q.run for k, q in QUERIES.items()} | {k: f for k, (f, _) in FRAMES.items()}
+    return {k: q.run for k, q in QUERIES.items()} | {k: f for k, (f, _) in (FRAMES | rule_queries.FRAMES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {k: q.oracle() for k, q in QUERIES.items()} | {k: s for k, (_, s) in FRAMES.items()}
+    found = {k: q.oracle() for k, q in QUERIES.items()} | {k: s for k, (_, s) in (FRAMES | rule_queries.FRAMES).items()}
     return {k: s for k, s in found.items() if s}

@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from lumenpath.sources.definitions import Definition, Element, Registry
 from lumenpath.sources.terminology import Terminology
 
-ISSUE = "struct<severity:string,code:string,diagnostics:string,expression:array<string>>"
-
 
 @dataclass(frozen=True)
 class Issue:

@@ -7,7 +7,7 @@ from dataclasses import replace
 from itertools import islice
 
 from lumenpath.interp.values import load
-from lumenpath.rules.bundle import bundle
+from lumenpath.rules.bundle import bundle, known_type
 from lumenpath.rules.content import bindings, constraints, extensions, references
 from lumenpath.rules.model import Issue, Options, Schema, Subject, listed
 from lumenpath.rules.structure import has_content, simple_values, structure
@@ -62,7 +62,7 @@ class Validator:
             yield from extensions(s)
         if s.type == "Bundle":
             yield from bundle(s)
-            for i, e in enumerate(listed(s.resource.get("entry"))):
+            for i, e in enumerate(listed(s.resource.get("entry")) if known_type(s.resource) else ()):
                 yield from self._entry(s, e, f"Bundle.entry[{i}].resource")
 
     def _entry(self, s: Subject, e, at: str) -> Iterator[Issue]:
@@ -71,7 +71,7 @@ class Validator:
             return
         kind = resource.get("resourceType")
         if not isinstance(kind, str) or not kind:
-            yield Issue("error", "required", "Bundle entry resource must have a resourceType", at)
+            yield Issue("error", "required", "Bundle entry resource must have a resourceType", f"{at}.resourceType")
             return
         d = self.registry.of_type(kind)
         if d is None:

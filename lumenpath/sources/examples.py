@@ -31,7 +31,7 @@ def definitions() -> dict:
         _definition("HumanName", "complex-type", _e("HumanName.use", "code"), _e("HumanName.family", "string"), _e("HumanName.given", "string", 0, "*")),
         _definition("Reference", "complex-type", _e("Reference.reference", "string"), _e("Reference.display", "string")),
         _definition("Extension", "complex-type", _e("Extension.url", "uri", 1), _e("Extension.value[x]", "string boolean integer decimal"), _e("Extension.extension", "Extension", 0, "*")),
-        _definition("Bundle", "resource", _e("Bundle.id", "id"), _e("Bundle.type", "code", 1), _e("Bundle.total", "unsignedInt"), _e("Bundle.entry", "BackboneElement", 0, "*"), _e("Bundle.entry.fullUrl", "uri"), _e("Bundle.entry.resource", "Resource"), _e("Bundle.entry.request", "BackboneElement")),
+        _definition("Bundle", "resource", _e("Bundle.id", "id"), _e("Bundle.type", "code", 1), _e("Bundle.total", "unsignedInt"), _e("Bundle.entry", "BackboneElement", 0, "*"), _e("Bundle.entry.fullUrl", "uri"), _e("Bundle.entry.resource", "Resource"), _e("Bundle.entry.request", "BackboneElement"), _e("Bundle.entry.response", "BackboneElement"), _e("Bundle.entry.search", "BackboneElement"), _e("Bundle.identifier", "Identifier"), _e("Bundle.timestamp", "instant")),
         _definition("Basic", "resource", _e("Basic.id", "id"), _e("Basic.code", "code", 1)),
     ]
     made[0]["snapshot"]["element"][0] = root

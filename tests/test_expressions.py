@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenpath.functions import registry
 from lumenpath.interp.evaluator import evaluate
@@ -10,6 +11,7 @@ from lumenpath.interp.values import text
 from lumenpath.lang.errors import FunctionNotFound, InvalidArguments, InvalidPath, ParseError, PathError, SingletonExpected, TypeMismatch
 from lumenpath.lang.parser import parse
 from lumenpath.operators import evaluate as E
+from lumenpath.operators import references
 from lumenpath.plans.coll import Coll
 from lumenpath.sources.documents import parse as parse_documents
 
@@ -170,3 +172,28 @@ def test_resolve_by_join(spark):
     assert [r.id for r in references.missing(visits, "subject", people, "key", ("id",)).collect()] == ["b"]
     forms = spark.createDataFrame([("#a",), ("Patient/1",), ("urn:uuid:01234567-89ab-cdef-0123-456789abcdef",), ("urn:oid:1.2.3",), ("http://s/fhir/Patient/1",), ("http://x|2",), ("??",)], "r string")
     assert [r.f for r in forms.select(references.parse_reference(F.col("r"))["form"].alias("f")).collect()] == ["contained", "relative", "uuid", "oid", "absolute", "canonical", "invalid"]
+
+
+def test_bad_patterns_end_no_job(spark):
+    """A pattern or replacement that comes from a row: its result is empty, with and without a schema."""
+    from lumenpath.interp.evaluator import evaluate
+    from lumenpath.lang.errors import InvalidArguments
+    from lumenpath.operators import dynamic
+
+    df = spark.createDataFrame([("ab", "a", "<$1$9>"), ("ab", "(", "x$"), ("ab", "(a)", "\\$0\\"), ("ab", "a{99999999999}", "")], "x string, p string, r string").coalesce(1)
+    rows = E.select(df, {"m": ("x.matches(%resource.p)", "boolean"), "r": ("x.replaceMatches(%resource.p, %resource.r)", "text"), "g": ("x.replaceMatches('(a)', '[$1$2${7}]')", "text")}).collect()
+    assert [r.m for r in rows] == [True, None, True, None]
+    assert rows[0].r == "<>b" and rows[1].r is None and [r.g for r in rows] == ["[a]b"] * 4
+    assert dynamic.select(df.select(E.as_json(df).alias("json")), "json", {"m": "x.matches(p)", "r": "x.replaceMatches('x', '$1')", "g": "x.replaceMatches('(a)', '[$1$2]')"}).count() == 4
+    for bad in ("x.matches('(')", "x.replaceMatches('[', 'a')"):
+        with pytest.raises(InvalidArguments):
+            evaluate(bad, '{"x": "ab"}')
+
+
+def test_references_match_whole_texts(spark):
+    from lumenpath.operators.references import matched, parse_reference
+
+    texts = ["Organization/1", "Organization/1\n", "#a", "#a\n", "urn:oid:1.2", "urn:oid:1.2\u0663", "http://h/x/Patient/1", "http://h/x/Patient/1\n", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_reference(F.col("t")).alias("r")).collect()
+    assert [r.r and r.r.form for r in got] == ["relative", "invalid", "contained", "invalid", "oid", "invalid", "absolute", "canonical", None]
+    assert matched(references.RELATIVE, "Organization/1") and not matched(references.RELATIVE, "Organization/1\n")
