@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenpath.llm import topk
@@ -36,3 +37,20 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 64 * 32 + 128 * 32)]
     assert top_k(df.where("vec_id > 5"), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_scores_over_64_bits_raise(spark):
+    big = [(0, [2.0**33, 0.0]), (1, [2.0**33, 1.0]), (2, [1.0, 1.0])]
+    with pytest.raises(Exception, match="64 bits"):
+        top_k(spark.createDataFrame(big, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
+    large = [(i, [float(2**18 + i), -float(2**17)]) for i in range(50)]  # over 2**53, below 2**63
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(large, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect())
+    assert got == brute(large)
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    rows = [(0, [1.0]), (0, [2.0]), (None, [3.0]), (5, None), (7, [4.0]), (7, [4.0]), (20, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as v", "2 as asks", "3 as `group`", "'x' as score")
+    got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, k=2).collect())
+    assert [r for r in got if r[0] == 20] == [(20, 1, 0, 0), (20, 2, 0, 0)]
+    assert all(r[2] != 0 for r in got if r[0] == 0) and all(r[3] in (0, 64 * 256, 128 * 256) for r in got)
