@@ -1,15 +1,18 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, of a target (documents that a labelled table marks) and of the background (all documents), share one vocabulary: words that occur
-COMMON times or more in the corpus; all others are one unknown word. Both are smoothed alike:
-    p(w | v) = (c(v, w) + M * p(w)) / (c(v) + M),   p(w) = (c(w) + 1) / (N + V)
+COMMON times or more in the corpus; all others are one unknown word. They are matched: a document is scored by models that have not seen it (its own
+counts are taken out of both), and the background's counts are scaled to the target's size, T tokens, so that smoothing weighs the same in both:
+    p(w | v) = (s c(v, w) + M p(w)) / (s c(v) + M),   p(w) = (s c(w) + 1) / (T + V + 1),   s: 1 for the target, T / tokens for the background
 A document's score is the mean over its words of log p_target - log p_background: higher is nearer to the target.
 
 Counts are over all documents. A block of documents counts its own words and bigrams, the owners of hash ranges add the blocks' counts up and answer
 each block in its own order, so frequent bigrams move once for each block and no table of the corpus is broadcast or collected.
+Counts are kept by the hash range and 40 bits of the hash. Ranges grow in number with the blocks, so one holds about 6 million bigrams at
+most, at any size; 6 of a million of them share a key with another, and are counted with it.
 
-Null or empty text: n_words 0, score 0. Null doc_id: returned as null. Repeated rows count each. Further columns are ignored.
-No target documents: the target model is the uniform one.
+Null or empty text: n_words 0, score 0. Null doc_id: returned as null, no target. Repeated rows are documents each, and count each. A very long text is
+hashed whole. Ties can't matter. Further columns are ignored. No target documents (other than the scored one): both models are uniform, score 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,6 +174,12 @@ def _post_pairs(n_buckets: int):
     return run
 
 
+def _own(keys: np.ndarray) -> np.ndarray:
+    """How often each entry's key is there."""
+    _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[inverse]
+
+
 def _score(n_buckets: int):
     def run(table: pa.Table, letters: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -182,15 +191,21 @@ def _score(n_buckets: int):
         both = _answered(found, _of(letters, n_buckets, n_buckets), n_buckets)
         sizes = next(json.loads(body) for _, body in _of(letters, _TOTALS, 1))
         tokens, target_tokens, unknown_tokens, unknown_target, vocabulary = (sizes[k] for k in SIZES)
+        n = np.diff(bounds)
+        row = np.repeat(np.arange(len(n)), n)
+        own_word = _own(row * (len(count) + 1) + np.where(common[inverse], inverse, len(count)))
+        own_pair = _own(row[has] * len(found) + number)
+        size = target_tokens - target * n[row]
+        scale = size / np.maximum(tokens - n[row], 1)
         loss = []
-        for uni, bi, total, unknown in ((count, both[0], tokens, unknown_tokens), (in_target, both[1], target_tokens, unknown_target)):
-            own = np.where(common, uni, unknown)[inverse]
-            p = (own + 1) / (total + vocabulary + 1)
+        for uni, bi, unknown, seen, s in ((count, both[0], unknown_tokens, 1, scale), (in_target, both[1], unknown_target, target, np.ones(len(h)))):
+            c = (np.where(common, uni, unknown)[inverse] - own_word * seen) * s
+            pairs = (bi[number] - np.broadcast_to(seen, len(h))[has] * own_pair) * s[has]
+            p = (c + 1) / (size + vocabulary + 1)
             before = np.zeros(len(h))
-            before[1:] = own[:-1]
-            p[has] = (bi[number] + M * p[has]) / (before[has] + M)
+            before[1:] = c[:-1]
+            p[has] = (pairs + M * p[has]) / (before[has] + M)
             loss.append(-row_sums(np.log(p), bounds))
-        n = np.diff(bounds)
         docs, per = table["doc_id"].to_numpy(), np.maximum(n, 1)
         return pa.table([pa.array(docs, mask=docs == B.NO_ID), pa.array(n), pa.array(loss[1] / per), pa.array(loss[0] / per), pa.array((loss[0] - loss[1]) / per)], schema=_SCORED)
 

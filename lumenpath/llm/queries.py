@@ -43,15 +43,18 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenpath.llm.lmscore import score
 
     labels = read(spark, sf_dir, "labels")
-    return score(read(spark, sf_dir, "documents"), labels.where("quality = 1 AND toxic = 0"))
+    found = score(read(spark, sf_dir, "documents"), labels.where("quality = 1 AND toxic = 0"))
+    return found.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenpath.llm.chat import digests, examples
 
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    types = dict(turns.dtypes)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    values = {"conv_id": F.lit(-1), "turn": F.col("id"), "role": role, "text": F.lit("</s>[INST] ok [/INST]")}
+    more = spark.range(2).select(*[v.cast(types[c]).alias(c) for c, v in values.items()])
     return digests(examples(turns.unionByName(more)))
 
 
@@ -137,6 +140,33 @@ SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = w.doc_id
 """
 
+LOSSES = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT r, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id IS NOT NULL), false)::INTEGER AS g, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w),
+c AS (SELECT x, count(*) AS n FROM t GROUP BY x),
+k AS (SELECT r, g, i, CASE WHEN n >= 3 THEN x ELSE '' END AS x FROM t JOIN c USING (x)),
+p AS (SELECT *, lag(x) OVER (PARTITION BY r ORDER BY i) AS v FROM k),
+one AS (SELECT x, count(*) AS n, sum(g) AS t FROM p GROUP BY x),
+two AS (SELECT v, x, count(*) AS n, sum(g) AS t FROM p WHERE v IS NOT NULL GROUP BY v, x),
+own AS (SELECT r, x, count(*) AS n FROM p GROUP BY r, x),
+pair AS (SELECT r, v, x, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY r, v, x),
+d AS (SELECT r, count(*) AS n FROM p GROUP BY r),
+z AS (SELECT count(*) AS n, sum(g) AS t, (SELECT count(*) FROM c WHERE n >= 3) AS words FROM p),
+f AS (
+    SELECT p.r, p.v, (z.t - g * d.n)::DOUBLE AS size, (z.t - g * d.n)::DOUBLE / greatest(z.n - d.n, 1) AS s, z.words,
+        a.n - m.n AS b1, a.t - g * m.n AS t1, e.n - o.n AS b0, e.t - g * o.n AS t0, two.n - pair.n AS b2, two.t - g * pair.n AS t2
+    FROM p CROSS JOIN z JOIN d ON d.r = p.r JOIN one a ON a.x = p.x JOIN own m ON m.r = p.r AND m.x = p.x
+    LEFT JOIN one e ON e.x = p.v LEFT JOIN own o ON o.r = p.r AND o.x = p.v
+    LEFT JOIN two ON two.v = p.v AND two.x = p.x LEFT JOIN pair ON pair.r = p.r AND pair.v = p.v AND pair.x = p.x
+), u AS (SELECT *, (s * b1 + 1) / (size + words + 1) AS pb, (t1 + 1) / (size + words + 1) AS pt FROM f),
+l AS (
+    SELECT r, count(*) AS n, -sum(ln(CASE WHEN v IS NULL THEN pt ELSE (t2 + 4 * pt) / (t0 + 4) END)) AS lt, -sum(ln(CASE WHEN v IS NULL THEN pb ELSE (s * b2 + 4 * pb) / (s * b0 + 4) END)) AS lb
+    FROM u GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(lt / n, 0), 6) AS target_loss, round(coalesce(lb / n, 0), 6) AS background_loss, round(coalesce((lb - lt) / n, 0), 6) AS score
+FROM w LEFT JOIN l USING (r)
+"""
+
 _ESCAPED = r"length(replace(replace(replace(replace(replace({x}, '\', '\\'), '</s>', '<\/s>'), '<s>', '<\s>'), '[/INST]', '[\/INST]'), '[INST]', '[\INST]'))"
 CHAT = f"""
 WITH t AS (
@@ -159,4 +189,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": CHAT, "op5_exact_topk": TOP_K, "op6_ngram_jaccard_join": LINKED, "op7_substring_dedup": REPEATS}
+    return {"op3_lm_scoring": LOSSES, "op4_chat_format": CHAT, "op5_exact_topk": TOP_K, "op6_ngram_jaccard_join": LINKED, "op7_substring_dedup": REPEATS}

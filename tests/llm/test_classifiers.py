@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -164,33 +165,28 @@ def test_mixing_cases(spark, docs, sample, no_docs):
 
 
 def plain_losses(rows, targets):
+    """Each document by models of all other documents, the background scaled to the target's size."""
     texts = [(d, WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for d, t in rows]
-    count = {}
-    for _, w in texts:
-        for x in w:
-            count[x] = count.get(x, 0) + 1
+    count = Counter(x for _, w in texts for x in w)
     texts = [(d, [x if count[x] >= lmscore.COMMON else None for x in w]) for d, w in texts]
     vocabulary = sum(1 for c in count.values() if c >= lmscore.COMMON)
-    out = []
-    for use in (lambda d: d in targets, lambda d: True):
-        one, two = {}, {}
-        for d, w in texts:
-            if use(d):
-                for i, x in enumerate(w):
-                    one[x] = one.get(x, 0) + 1
-                    if i:
-                        two[w[i - 1], x] = two.get((w[i - 1], x), 0) + 1
-        total = sum(one.values())
-        losses = []
-        for _, w in texts:
+    every = [(Counter(w), Counter(zip(w[:-1], w[1:], strict=True))) for _, w in texts]
+    sums = [[sum((own[k] for (d, _), own in zip(texts, every, strict=True) if use(d)), Counter()) for k in (0, 1)] for use in (lambda d: d in targets, lambda d: True)]
+    out = [[], []]
+    for (d, w), own in zip(texts, every, strict=True):
+        total = sums[0][0].total() - len(w) * (d in targets)
+        for k, (one, two) in enumerate(sums):
+            mine = k == 1 or d in targets
+            s = total / max(1, one.total() - len(w)) if k else 1.0
+            c = lambda x, one=one, own=own, mine=mine, s=s: s * (one[x] - own[0][x] * mine)
             loss = 0.0
             for i, x in enumerate(w):
-                p = (one.get(x, 0) + 1) / (total + vocabulary + 1)
+                p = (c(x) + 1) / (total + vocabulary + 1)
                 if i:
-                    p = (two.get((w[i - 1], x), 0) + lmscore.M * p) / (one.get(w[i - 1], 0) + lmscore.M)
+                    pair = (w[i - 1], x)
+                    p = (s * (two[pair] - own[1][pair] * mine) + lmscore.M * p) / (c(w[i - 1]) + lmscore.M)
                 loss -= math.log(p)
-            losses.append(loss / max(1, len(w)))
-        out.append(losses)
+            out[k].append(loss / max(1, len(w)))
     return out
 
 
