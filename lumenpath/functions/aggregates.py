@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenpath.functions.registry import function
-from lumenpath.lang.errors import TypeMismatch
+from lumenpath.lang.errors import InvalidOperation, TypeMismatch
 from lumenpath.plans import temporal
 from lumenpath.plans.coll import EMPTY, NUMERIC, SPARK_TYPES, Coll, child, choice_item, none, to_many
 
-#: Levels to which repeat() and descendants() follow a schema.
-DEPTH = 8
-
 
 @function("sum")
 def sum_(c, this, args):
@@ -84,18 +81,34 @@ def _same(a: Coll, b: Coll) -> bool:
 
 @function("repeat", 1)
 def repeat(c, this, args):
-    """All that the projection reaches, again and again; distinct items, level by level as far as the schema goes."""
+    """All that the projection reaches, again and again; distinct items, level by level until the schema has no more.
+
+    Each level has to go down in the schema, which bounds their number; what doesn't is for the evaluator without a schema.
+    """
     levels, now = [], this
-    for _ in range(DEPTH):
-        now = c.argument(args[0], now)
-        if now.kind == "empty":
-            break
-        levels.append(now)
-        if not any(isinstance(f.dataType, (T.StructType, T.ArrayType)) for f in (now.dtype.fields if now.dtype else [])):
-            break
+    while (below := c.argument(args[0], now)).kind != "empty":
+        if levels and _height(below) >= _height(now) or below is now:
+            raise InvalidOperation("repeat: the schema doesn't bound this projection; operators.dynamic evaluates it without one")
+        levels.append(below)
+        now = below
     return _joined(c, levels, distinct=True)
 
 
+def _levels(dtype: T.DataType) -> int:
+    if isinstance(dtype, T.ArrayType):
+        return _levels(dtype.elementType)
+    return 1 + max((_levels(f.dataType) for f in dtype.fields), default=0) if isinstance(dtype, T.StructType) else 0
+
+
+def _height(x: Coll) -> int:
+    """How far the schema goes down from x; the root, whose fields are the frame's columns, is above all."""
+    if x.kind == "choice":
+        return max(_height(v) for _, v in x.variants)
+    if x.fields is not None:
+        return 1 + max((_levels(t) for _, t in x.fields.values()), default=0)
+    return _levels(x.dtype) if x.dtype is not None else 0
+
+
 def _joined(c, levels, distinct=False):
     """Levels as one collection. Objects of different types have only what they share: their JSON as text."""
     if not levels:
@@ -122,11 +135,9 @@ def children(c, this, args):
 
 @function("descendants")
 def descendants(c, this, args):
-    """children() of children() and so on, to the schema's depth."""
+    """children() of children() and so on, until the schema has no more."""
     found, level = [], _fields(this)
-    for _ in range(DEPTH):
-        if not level:
-            break
+    while level:
         found += level
         level = [x for one in level for x in _fields(one)]
     return _joined(c, found)

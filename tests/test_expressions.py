@@ -197,3 +197,20 @@ def test_references_match_whole_texts(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_reference(F.col("t")).alias("r")).collect()
     assert [r.r and r.r.form for r in got] == ["relative", "invalid", "contained", "invalid", "oid", "invalid", "absolute", "canonical", None]
     assert matched(references.RELATIVE, "Organization/1") and not matched(references.RELATIVE, "Organization/1\n")
+
+
+def test_descendants_of_deep_documents(spark):
+    """More than eight levels; what no schema bounds is refused, not cut."""
+    from lumenpath.lang.errors import InvalidOperation
+
+    deep = "v: string"
+    for _ in range(12):
+        deep = f"v: string, below: struct<{deep}>"
+    value = None
+    for k in range(13):
+        value = {"v": str(12 - k)} | ({"below": value} if value else {})
+    df = spark.createDataFrame([(json.dumps(value),)], "j string").select(F.from_json("j", f"struct<{deep}>").alias("d")).select("d.*")
+    row = E.select(df, {"r": ("repeat(below).count()", "integer"), "all": ("descendants()", "texts")}).first()
+    assert row.r == 12 and sum(x in {str(k) for k in range(13)} for x in row["all"]) == 13
+    with pytest.raises(InvalidOperation):
+        E.select(df, {"x": "v.repeat($this & 'x')"})
