@@ -37,3 +37,7 @@ class InvalidOperation(PathError):
 
 class DivisionByZero(PathError):
     kind = "DivisionByZero"
+
+
+class Timeout(PathError):
+    kind = "Timeout"

@@ -48,6 +48,8 @@ class Definition:
     abstract: bool
     base: str
     elements: list[Element] = field(default_factory=list)
+    #: What a profile states beyond its base; rules use the snapshot.
+    differential: list[Element] = field(default_factory=list)
 
     @property
     def index(self) -> dict[str, Element]:
@@ -71,8 +73,8 @@ def _element(e: dict) -> Element:
 
 
 def parse(d: dict) -> Definition:
-    snapshot = (d.get("snapshot") or {}).get("element") or []
-    return Definition(d.get("url", ""), d.get("name", ""), d.get("type", ""), d.get("kind", ""), bool(d.get("abstract")), d.get("baseDefinition", ""), [_element(e) for e in snapshot])
+    parts = [[_element(e) for e in (d.get(part) or {}).get("element") or [] if isinstance(e, dict)] for part in ("snapshot", "differential")]
+    return Definition(d.get("url", ""), d.get("name", ""), d.get("type", ""), d.get("kind", ""), bool(d.get("abstract")), d.get("baseDefinition", ""), *parts)
 
 
 class Registry:
@@ -126,6 +128,16 @@ class Registry:
                 continue
         return n
 
+    def load_specification(self, folder: str) -> int:
+        """The specification's three files of definitions, as far as they are there."""
+        n = 0
+        for name in ("profiles-resources.json", "profiles-types.json", "extension-definitions.json"):
+            try:
+                n += self.load_file(f"{folder}/{name}")
+            except (ValueError, OSError):
+                continue
+        return n
+
     def load_spark(self, spark: SparkSession, path: str) -> int:
         """Definitions in a store that only Spark reads. Definitions are bounded by the specification, so they may come to the driver."""
         n = 0

@@ -51,6 +51,18 @@ class Terminology:
                 continue
         self.load(*found)
 
+    def save(self, path: str) -> int:
+        """All value sets' codes as one table file, a line of JSON each, which load_table reads; how many."""
+        rows = [[url, c.system, c.code, c.display, c.active] for url, codes in sorted(self.sets.items()) for _, c in sorted(codes.items())]
+        Path(path).write_text("".join(json.dumps(r) + "\n" for r in rows))
+        return len(rows)
+
+    def load_table(self, path: str) -> None:
+        for line in Path(path).read_text().splitlines():
+            url, *code = json.loads(line)
+            c = Code(*code)
+            self.sets.setdefault(url, {})[c.system, c.code] = c
+
     def _flatten(self, concepts: list, system: str):
         for c in concepts:
             if c.get("code"):
