@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from lumenpath.llm import blocks as B
 from lumenpath.llm.arrays import U64, Words, ragged, row_sums, runs, text_column, windows
-from lumenpath.llm.sparkutil import ship
+from lumenpath.llm.sparkutil import ship, stored
 
 WINDOW, GRAM = 13, 7
 SPAN = WINDOW - GRAM + 1  # 7-word runs in a window
@@ -396,7 +396,7 @@ def _plan(docs: DataFrame, rows_per_block: int, last, schema, extra: tuple = ())
     by_block = base.groupBy("block")
     anchors = B.owners(by_block.applyInArrow(_post_anchors(n_buckets), B.MAIL), _anchor_owner)
     texts = by_block.cogroup(anchors.where(F.col("kind") == WANTED).groupBy("block")).applyInArrow(_send_reference, B.MAIL)
-    known = anchors.where(F.col("kind") == SHARED).unionByName(texts)
+    known = stored(anchors.where(F.col("kind") == SHARED).unionByName(texts), "reference")  # read by two passes
     asked = by_block.cogroup(known.groupBy("block")).applyInArrow(_post_windows(n_buckets), B.MAIL)
     replies = known.unionByName(B.owners(asked, _window_owner))
     return by_block.cogroup(replies.groupBy("block")).applyInArrow(last, schema)

@@ -147,3 +147,16 @@ def test_a_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(["new", *words[:75_000], "end"])), (3, "short")]
     got = {r.doc_id: (r.n_words, r.n_removed) for r in duplicate_words(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
     assert got == {1: (150_000, 0), 2: (75_002, 75_000), 3: (1, 0)}
+
+
+def test_letters_of_few_entries(docs, sample, monkeypatch):
+    """The exchange at sizes where hash ranges are so many that a letter holds an entry or two."""
+    from lumenpath.llm import blocks
+
+    monkeypatch.setattr(blocks, "buckets_for", lambda n: 20_000)
+    want = brute([(r[0], r[1]) for r in sample[:60] + sample[-20:]])
+    some = docs.sparkSession.createDataFrame(sample[:60] + sample[-20:], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    got = defaultdict(list)
+    for r in duplicate_words(some, 9).collect():
+        got[r.doc_id].append((r.n_words, r.n_removed, r.kept_sha256))
+    assert {k: sorted(v) for k, v in got.items()} == want
