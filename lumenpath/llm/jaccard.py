@@ -2,19 +2,23 @@
 
 1. Every text becomes the set of its distinct SHINGLE-word shingles (64-bit hashes). Equal sets are one class, so exact copies cost
    one set. The global order of shingles is rare first: by the number of sets that have them (counted over all documents), then by hash.
-2. Sets that reach the threshold share one of their first n - ceil(t * n) + 1 shingles, which most often no other set has. A shingle in several sets' prefixes ties each of them
-   to the first such set; connected ties form a cluster, and linked sets lie in one cluster. No pairs are made.
+2. Sets that reach the threshold share one of their first n - ceil(t * n) + 1 shingles, which most often no other set has, and their sizes differ by a factor of t at most:
+   by powers of 1 / t, they have one level of size, or neighbouring ones. A shingle in the prefixes of several sets of one level (each set counts in its own and the next) ties each of them
+   to the first such set; connected ties form a cluster, and linked sets lie in one cluster. No pairs are made, and chance ties between sets that differ in size neither.
 3. A cluster's sets, in shards of at most about SHARD_SHINGLES shingles, are joined shard by shard. One shard's sets stand in a prefix tree
    (most shared shingles first, so that copies share long paths); the other's run down it together: each edge adds its overlap once for
    all sets below it, and a query leaves a subtree where overlap so far plus the remaining length can't reach the bound.
 4. Links between classes that are already connected in the same shard pair are redundant and not sent.
 
 Null text, no words: empty set, linked with nothing. Null doc_id: larger than any other. Rows with one doc_id are separate documents.
+A very long text is a run of its own. Ties can't matter: a component is known by its smallest doc_id. An empty table gives no rows.
 Further columns are ignored by `jaccard_components` and kept by `keep_one`.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -239,9 +243,11 @@ def _classes(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFram
     counts = B.owners(by_block.applyInArrow(_post_counts(n_buckets, k), B.MAIL), _count_owner(n_buckets), with_bucket=True)
     made = by_block.cogroup(counts.groupBy("block")).applyInArrow(_signatures(n_buckets, percent, k), "doc_id long, mark long, n long, set_id long, prefix array<long>")
     signed = checkpointed(made)
-    entries = signed.select("set_id", F.explode("prefix").alias("shingle"))
-    first = entries.groupBy("shingle").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("shingle", "a")
-    ties = entries.join(first, "shingle").where("set_id <> a").select("a", "set_id").distinct()
+    level = F.floor(F.log("n") / -math.log(percent / 100) + 1e-9) if percent < 100 else F.col("n")
+    sized = signed.where(F.size("prefix") > 0).select("set_id", "prefix", F.explode(F.array(level, level + 1)).alias("size"))
+    entries = sized.select("set_id", "size", F.explode("prefix").alias("shingle"))
+    first = entries.groupBy("shingle", "size").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("shingle", "size", "a")
+    ties = entries.join(first, ["shingle", "size"]).where("set_id <> a").select("a", "set_id").distinct()
     cluster = components(ties, "a", "set_id").select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
     first_of = signed.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark")).alias("d"), F.max("n").alias("n"))
     members = first_of.join(cluster, "set_id").select("cluster", "set_id", "d.doc_id", "d.mark", "n")
@@ -275,12 +281,11 @@ def jaccard_components(docs: DataFrame, percent: int = 85, k: int = SHINGLE) ->
 
 def keep_one(docs: DataFrame, percent: int = 85, k: int = SHINGLE) -> DataFrame:
     """docs, with one document of each component: that with the smallest doc_id. Documents without words all stay."""
-    rooted, first = _rooted(docs, percent, k)
-    keep = first.select("first.*").unionByName(rooted.where("n = 0").select("doc_id", "mark").distinct())
+    _, first = _rooted(docs, percent, k)
+    keep = first.select("first.*")
     key, mark = fresh(docs, "key", "mark")
     own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(mark, F.xxhash64("text"))
     keep = keep.select(F.col("doc_id").alias(key), F.col("mark").alias(mark))
-    kept = own.join(keep, [key, mark])
-    again = F.when(F.length(F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(" \t\n\x0b\f\r"))) == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    (twin,) = fresh(kept, "twin")
-    return kept.withColumn(twin, again).dropDuplicates([key, mark, twin]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    blank = F.length(F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(" \t\n\x0b\f\r"))) == 0
+    kept = own.where(~blank).join(keep, [key, mark]).dropDuplicates([key, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.union(docs.where(blank))
