@@ -99,6 +99,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit(docs, read(spark, sf_dir, "labels")))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op10, which SQL can express; the learned verdict it can't."""
+    from lumenpath.llm.rules import judge
+
+    return judge(read(spark, sf_dir, "documents"), []).drop("kept")
+
 
 TOP_K = """
 WITH v AS (
@@ -140,6 +146,19 @@ SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = w.doc_id
 """
 
+BASE = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+g AS (SELECT r, unnest(range(1, greatest(len(ws) - 1, 1))) AS i, ws FROM w),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
+p AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM h WHERE n > 1) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) > 0) AS ls FROM w),
+o AS (
+    SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words FROM w JOIN l USING (r) LEFT JOIN p USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o
+"""
+
 LOSSES = rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 t AS (SELECT r, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id IS NOT NULL), false)::INTEGER AS g, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w),
@@ -185,8 +204,8 @@ FROM o GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"quality_base": quality_base}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lm_scoring": LOSSES, "op4_chat_format": CHAT, "op5_exact_topk": TOP_K, "op6_ngram_jaccard_join": LINKED, "op7_substring_dedup": REPEATS}
+    return {"quality_base": BASE, "op3_lm_scoring": LOSSES, "op4_chat_format": CHAT, "op5_exact_topk": TOP_K, "op6_ngram_jaccard_join": LINKED, "op7_substring_dedup": REPEATS}

@@ -14,10 +14,13 @@ __all__ = ["checkpointed", "fresh", "read", "release", "shared_folder", "ship",
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary folder is set."""
+    """The session's spark.checkpoint.dir. Only where that is unset and all runs in one process, as in tests, a temporary folder is set."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenpath-cp"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumenpath-cp"))
     return context.getCheckpointDir()
 
 

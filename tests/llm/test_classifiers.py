@@ -298,3 +298,51 @@ def test_a_very_long_text(spark):
     forest = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
     assert quality.scores(docs, forest).count() == 3
     assert {r.doc_id: r.n_words for r in rules.judge(docs, []).collect()}[1] == 600_000
+
+
+def plain_statistics(text):
+    text = text or ""
+    data, w = text.encode(), [x.encode() for x in WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
+    lines = [tuple(WORD.findall(x.lower())) for x in text.split("\n") if WORD.search(x)]
+    per = lambda n, d: n / max(1, d)
+    runs = lambda k: len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
+    share = lambda chars: per(sum(b in chars for b in data), len(data))
+    return {
+        "log_bytes": math.log1p(len(data)), "log_words": math.log1p(len(w)), "log_lines": math.log1p(len(lines)), "word_bytes": per(sum(map(len, w)), len(w)),
+        "long_words": per(sum(len(x) > 12 for x in w), len(w)), "longest_word": max(map(len, w), default=0), "one_byte_words": per(sum(len(x) == 1 for x in w), len(w)),
+        "distinct_words": per(len(set(w)), len(w)), "distinct_pairs": per(runs(2), len(w) - 1), "distinct_triples": per(runs(3), len(w) - 2), "distinct_lines": per(len(set(lines)), len(lines)),
+        "words_a_line": per(len(w), len(lines)), "upper": share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "lower": share(b"abcdefghijklmnopqrstuvwxyz"), "digit": share(b"0123456789"), "symbol": share(b"#*$%&|<>"),
+        "mark": share(b"!?"), "stop": share(b".,;:"), "other": share(b"\"'()[]{}@/\\^_`~+=-"), "line": share(b"\n"), "high": share(bytes(range(0xC0, 0x100))),
+    }
+
+
+def test_all_statistics_equal_plain_ones(sample, monkeypatch):
+    texts = [r[1] for r in sample if len(r[1] or "") < 20_000] + ["Ab cd!\nab CD!\n\nx", "a a a a a", "#$% 12\n#$% 12", "\u00e9" * 5, "~^ [x]{y} 'q' \"z\""]
+    for run_bytes in (quality.runs.__defaults__[0], 2_000):
+        monkeypatch.setattr(quality.runs, "__defaults__", (run_bytes,))
+        for text, row in zip(texts, quality.statistics(pa.array(texts)), strict=True):
+            plain = plain_statistics(text)
+            assert list(plain) == quality.STATISTICS
+            assert np.allclose(row, list(plain.values()), rtol=1e-12), (text, plain)
+
+
+def test_verdicts_equal_plain_rules(spark, docs, sample):
+    """kept, by learned rules, against the rules' own texts evaluated on plainly counted statistics."""
+    short = docs.where(F.length(F.coalesce("text", F.lit(""))) < 5000)
+    labels = spark.createDataFrame([(r[0], int(len(r[1] or "") % 3 > 0)) for r in sample if r[0] is not None and r[0] % 2], "doc_id long, quality int")
+    learned = rules.fit(short, labels)
+    made = [rules.Rule((("symbols_per_word", True, 0.05), ("n_words", False, 200.0))), rules.Rule((("chars_per_word", True, 6.0),)), rules.Rule((("repeat_word_share", True, 0.2),))]
+    for chosen in (learned, made):
+        judged = rules.judge(short.withColumn("kept", F.lit("clash")), chosen).collect()
+        want = Counter()
+        for r in short.collect():
+            n, chars, symbols, repeated_lines, repeats = base_statistics(r.text)
+            lines = sum(1 for x in (r.text or "").split("\n") if WORD.search(x))
+            capitals = sum("A" <= c <= "Z" for c in r.text or "")
+            x = {"n_words": n, "symbols_per_word": symbols / max(1, n), "capitals_per_char": capitals / max(1, chars), "chars_per_word": chars / max(1, n), "dup_line_share": repeated_lines / max(1, lines), "repeat_word_share": repeats / max(1, n), "words_per_line": n / max(1, lines)}
+            failed = n < 50 or 100 * repeats > 50 * n
+            hit = any(all(x[name] >= v if up else x[name] <= v for name, up, v in rule.tests) for rule in chosen)
+            want[r.doc_id, n, repeats, failed, not failed and not hit] += 1
+        assert Counter((r.doc_id, r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in judged) == want
+        if chosen is made:
+            assert {r.kept for r in judged if not r.base_failed} == {True, False}
