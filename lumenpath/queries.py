@@ -312,8 +312,8 @@ def issues_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("status", "code").agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
-def patient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as JSON documents, with faults that follow from their keys."""
+def faulty_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as Patient documents with faults that follow from their keys, in `number`."""
     from pyspark.sql import functions as F
 
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -331,7 +331,24 @@ def patient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(fault(37, null.cast("string"), F.lit("http://example.org/balance")).alias("url"), F.col("c_acctbal").cast("double").alias("valueDecimal"))).alias("extension"),
         F.when(key % 41 == 0, "").alias("multipleBirthBoolean"),
     ]
-    return c.select(key.cast("long").alias("number"), F.to_json(F.struct(*fields)).alias("json"))
+    return c.select(key.cast("long").alias("number"), *fields)
+
+
+def patient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as JSON documents."""
+    from pyspark.sql import functions as F
+
+    df = faulty_patients(spark, sf_dir)
+    return df.select("number", F.to_json(F.struct(*df.columns[1:])).alias("json"))
+
+
+def validation_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issues of typed documents, by columns alone."""
+    from lumenpath.operators import native
+    from lumenpath.rules.model import Options
+    from lumenpath.sources import examples
+
+    return native.issues(faulty_patients(spark, sf_dir), examples.registry(), "Patient", Options(terminology=True, references=True), examples.terminology(), ("number",))
 
 
 def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,6 +423,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         f"WITH p AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, list_filter({_PARTS}, lambda x: x > 0.01) AS v FROM lineitem) SELECT id, (unnest(range(len(v))))::INTEGER AS pos, unnest(v) AS value FROM p",
     ),
     "validation_issues": (validation_issues, _ISSUES),
+    "validation_typed": (validation_typed, _ISSUES),
     "validation_summary": (
         validation_summary,
         f"SELECT number, count_if(severity <> 'warning')::BIGINT AS errors, count_if(severity = 'warning')::BIGINT AS warnings, count_if(severity <> 'warning') = 0 AS valid FROM ({_ISSUES}) GROUP BY number",
