@@ -236,6 +236,53 @@ def made_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.select(made, columns, ("id",))
 
 
+def streamed_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that arrive as a stream: documents made of them, an expression as filter, and what is wrong with each, written batch by batch."""
+    import tempfile
+    import uuid
+
+    from lumenpath.operators import native
+    from lumenpath.streaming import documents as S
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenpath-stream")
+    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/customer.parquet").schema
+    rows = S.read(spark, f"{sf_dir}/custome[r].parquet", schema)
+    key = F.col("c_custkey").cast("string")
+    made = rows.select(F.lit("Basic").alias("resourceType"), F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("no id "), key)).otherwise(key).alias("id"), F.col("c_mktsegment").alias("code"), (F.col("c_acctbal") > 0).alias("rich"))
+    some = evaluate.where(made, "rich").drop("rich")
+
+    def write(batch: DataFrame, number: int) -> None:
+        native.issues(batch, examples.registry(), "Basic").write.mode("append").parquet(f"{folder}/issues")
+
+    S.each_batch(some, write, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("severity string, code string, diagnostics string, expression string").parquet(f"{folder}/issues")
+
+
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows with a watermark; here over the rows that are there, on streams the same plan keeps bounded state."""
+    from lumenpath.streaming import documents as S
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return S.windowed(events, "ts", "1 day", "1 hour", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def extension_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What extensions' URLs tell."""
+    from lumenpath.functions.navigation import extension_name, is_standard_extension
+
+    url = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("http://hl7.org/fhir/x/"), F.col("s_name"))).otherwise(F.concat(F.lit("http://example.org/"), F.col("s_name")))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("number"), is_standard_extension(url).alias("standard"), extension_name(url).alias("name"))
+
+
+def looked_up_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership of coded values, with and without a system, by a join with the value set's codes."""
+    codes = examples.terminology().frame(spark).select("system", F.col("code").alias("known"))
+    gender = F.get(F.array(*[F.lit(g) for g in ("male", "female", "robot")]), (F.col("c_custkey") % 3).cast("int"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("number"), gender.alias("code"))
+    return c.join(codes, c["code"] == codes["known"], "left").select("number", "code", F.col("known").isNotNull().alias("member"), "system")
+
+
 _ELEMENTS = "SELECT * FROM (VALUES ('Patient', 9, 1), ('HumanName', 3, 0), ('Reference', 2, 0), ('Extension', 3, 1), ('Bundle', 11, 1), ('Basic', 2, 1)) t(type, elements, required)"
 _CODES = "SELECT 'http://example.org/ValueSet/genders' AS value_set, 'http://example.org/gender' AS system, code, '' AS display, true AS active FROM (VALUES ('male'), ('female'), ('other'), ('unknown')) t(code)"
 _PEOPLE = "FROM customer WHERE c_custkey % 97 <> 0"
@@ -263,6 +310,16 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         unit_forms,
         "SELECT p_partkey::BIGINT AS part, ['g', 'g', 'L', 'L', 'zorks'][p_size % 5 + 1] AS code, round(p_size * [1000.0, 0.001, 1.0, 0.001, 1.0][p_size % 5 + 1]::DOUBLE, 6) AS value, p_size % 5 <> 4 AS known, ['kg', 'mg', 'L', 'ML', 'zorks'][p_size % 5 + 1] AS other, p_size * 2.5::DOUBLE AS scaled FROM part",
     ),
+    "streamed_issues": (
+        streamed_issues,
+        "SELECT 'error' AS severity, 'value' AS code, 'Element ''Basic.id'' has invalid id format (alphanumeric, hyphens, dots, max 64 chars): no id ' || c_custkey AS diagnostics, 'Basic.id' AS expression FROM customer WHERE c_custkey % 10 = 0 AND c_acctbal > 0",
+    ),
+    "streamed_windows": (streamed_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"),
+    "extension_names": (extension_names, "SELECT s_suppkey::BIGINT AS number, s_suppkey % 2 = 0 AS standard, s_name AS name FROM supplier"),
+    "looked_up_codes": (
+        looked_up_codes,
+        "SELECT c_custkey::BIGINT AS number, ['male', 'female', 'robot'][c_custkey % 3 + 1] AS code, c_custkey % 3 <> 2 AS member, CASE WHEN c_custkey % 3 <> 2 THEN 'http://example.org/gender' END AS system FROM customer",
+    ),
     "registered_function": (registered_function, "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, (2 * l_linenumber + 1)::BIGINT AS v FROM lineitem"),
     "made_documents": (
         made_documents,

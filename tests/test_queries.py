@@ -14,7 +14,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    for t in ("customer", "nation", "orders", "lineitem", "part"):
+    for t in ("customer", "nation", "orders", "lineitem", "part", "events", "supplier"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return con
 
