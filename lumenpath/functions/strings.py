@@ -17,26 +17,18 @@ def check_pattern(pattern: str) -> None:
     """Refuses patterns that may run for very long: too long, groups too deep, quantifiers one after another."""
     if len(pattern) > LONGEST_PATTERN:
         raise InvalidArguments("pattern: too long")
-    depth, quantified, escaped = 0, False, False
-    for ch in pattern:
-        if escaped:
-            escaped, quantified = False, False
-            continue
-        if ch == "\\":
-            escaped = True
-            continue
-        if ch == "(":
-            depth += 1
+    depth, quantified = 0, False
+    for ch in pattern:  # signs count wherever they stand, escaped ones too; groups don't part quantifiers
+        if ch in "()":
+            depth = max(0, depth + (1 if ch == "(" else -1))
             if depth > DEEPEST_GROUP:
                 raise InvalidArguments("pattern: groups too deep")
-        elif ch == ")":
-            depth -= 1
         elif ch in "*+?":
             if quantified:
                 raise InvalidArguments("pattern: quantifiers one after another")
             quantified = True
         else:
-            quantified = False
+            quantified = ch == "{"
 
 
 def _text(c, this):

@@ -77,3 +77,14 @@ def test_table_of_codes(tmp_path):
     assert first.save(str(tmp_path / "codes.jsonl")) == 4
     again.load_table(str(tmp_path / "codes.jsonl"))
     assert again.sets == first.sets
+
+
+def test_guard_of_patterns():
+    from lumenpath.functions.strings import check_pattern
+    from lumenpath.lang.errors import InvalidArguments
+
+    for good in ("a{2}b+", "))((a))", "((((a))))", "a+b*c?", "[0-9]{1,3}", "x" * 1000, "a+{2}"):
+        check_pattern(good)
+    for bad in ("a++", "(a+)+", "a{+", "((((((a))))))", "x" * 1001, "a*?"):
+        with pytest.raises(InvalidArguments):
+            check_pattern(bad)
