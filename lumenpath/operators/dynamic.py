@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lumenpath.interp.evaluator import evaluate
-from lumenpath.interp.values import text
+from lumenpath.interp.values import load, text
 from lumenpath.lang.errors import PathError
 from lumenpath.lang.parser import parse
 from lumenpath.shipping import ship
@@ -46,6 +46,19 @@ def select(df: DataFrame, json_column: str, columns: dict[str, str], strict: boo
     return df.mapInArrow(run, schema)
 
 
+class Document:
+    """A document that is read once and asked often."""
+
+    def __init__(self, text: str | bytes | dict, **options):
+        self.value, self.options = load(text) if isinstance(text, (str, bytes)) else text, options
+
+    def evaluate(self, expression: str) -> list:
+        return evaluate(expression, self.value, **self.options)
+
+    def json(self, expression: str) -> str:
+        return json.dumps([native(x) for x in self.evaluate(expression)])
+
+
 def evaluate_json(expression: str, document: str, **options) -> str:
     """The result over one document, as a JSON array."""
     return json.dumps([native(x) for x in evaluate(expression, document, **options)])

@@ -180,6 +180,13 @@ def rows_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("number", *[F.array_join(c, ",").alias(c) for c in ("name", "n", "bad", "none")])
 
 
+def inferred_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON texts without a known schema: inferred in one pass, then compiled."""
+    df = documents.inferred(_people(spark, sf_dir), "json")
+    columns = {"family": ("Patient.name.family.distinct()", "text"), "n": ("name.count()", "integer"), "old": ("birthDate.toDate() < @1990-12-02", "boolean"), "gone": ("colour.empty()", "boolean")}
+    return evaluate.select(df, columns, ("number",), resource_type="Patient")
+
+
 def resolved_in_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """resolve() inside an expression, over a frame that was joined with what its references name."""
     people = documents.patients(spark, sf_dir).withColumn("key", F.concat(F.lit("Patient/"), "id")).select("key", "resourceType", "name", "active")
@@ -303,6 +310,10 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"SELECT 'Patient' AS \"resourceType\", CASE WHEN c_custkey % 13 = 0 THEN 'bad id ' ELSE '' END || c_custkey AS id, NULL::BOOLEAN AS active, CASE WHEN c_custkey % 7 <> 0 THEN '[' || CASE WHEN c_custkey % 5 = 0 THEN {_NAME} || ',' || {_NAME} || ',' || {_NAME} ELSE {_NAME} END || ']' END AS name {_PEOPLE}",
     ),
     "rows_as_documents": (rows_as_documents, "SELECT c_custkey::BIGINT AS number, c_name AS name, CAST(c_custkey + 1 AS VARCHAR) AS n, '' AS bad, regexp_replace(c_name, '[0-9]+', 'n') AS \"none\" FROM customer"),
+    "inferred_documents": (
+        inferred_documents,
+        "SELECT c_custkey::BIGINT AS number, CASE WHEN c_custkey % 97 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 THEN c_name END AS family, (CASE WHEN c_custkey % 7 = 0 THEN 0 WHEN c_custkey % 5 = 0 THEN 3 ELSE 1 END)::BIGINT AS n, c_custkey % 19 <> 0 AS old, c_custkey % 23 <> 0 AS gone FROM customer",
+    ),
     "resolved_in_expressions": (resolved_in_expressions, "SELECT CAST(o_orderkey AS VARCHAR) AS id, c_name AS family, c_custkey IS NOT NULL AS known FROM orders LEFT JOIN customer ON o_custkey = c_custkey"),
     "definition_elements": (definition_elements, _ELEMENTS),
     "value_set_codes": (value_set_codes, _CODES),

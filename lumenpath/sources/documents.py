@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,19 @@ def parse(df: DataFrame, column: str, schema: T.StructType | str) -> DataFrame:
     return df.withColumn("_doc", F.from_json(column, schema, {"mode": "PERMISSIVE"})).select(*[c for c in df.columns if c != column], "_doc.*")
 
 
+def inferred_schema(df: DataFrame, column: str) -> str:
+    """The schema that all JSON texts of a column have together, found in one pass over them as variants; what differs in type is a text."""
+    found = df.select(F.schema_of_variant_agg(F.try_parse_json(column)).alias("s")).first()["s"] or ""
+    shape = re.sub(r"\b(VARIANT|VOID)\b", "STRING", re.sub(r"\bOBJECT<", "STRUCT<", found))
+    return shape if shape.startswith("STRUCT<") and shape != "STRUCT<>" else "STRUCT<resourceType: STRING>"
+
+
+def inferred(df: DataFrame, column: str) -> DataFrame:
+    """The fields of JSON texts without a known schema as columns, so that expressions over them compile."""
+    shape = inferred_schema(df, column)
+    return df.withColumn("_doc", F.from_json(column, shape, {"mode": "PERMISSIVE"})).select(*[F.col(f"`{c}`") for c in df.columns if c != column], "_doc.*")
+
+
 def by_type(df: DataFrame, column: str, registry: Registry, types: list[str]) -> dict[str, DataFrame]:
     """Frames with the typed fields of each type's documents, out of JSON texts of many types. An unknown type is an error."""
     kind, out = F.get_json_object(column, "$.resourceType"), {}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
+from enum import Enum
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +113,10 @@ class Terminology:
     def expand(self, url: str) -> list[Code]:
         return list(self.sets.get(plain_url(url), {}).values())
 
+    def enumeration(self, url: str, name: str) -> type[Enum]:
+        """A value set's codes as an enumeration; a member is named by its code, in capitals."""
+        return Enum(name, {re.sub(r"\W", "_", c.code).upper().lstrip("_") or "_": c.code for c in self.expand(url)})
+
     def lookup(self, system: str, code: str) -> Code | None:
         return self.systems.get(system, {}).get(code)
 

@@ -88,3 +88,19 @@ def test_guard_of_patterns():
     for bad in ("a++", "(a+)+", "a{+", "((((((a))))))", "x" * 1001, "a*?"):
         with pytest.raises(InvalidArguments):
             check_pattern(bad)
+
+
+def test_inferred_documents(spark):
+    from lumenpath.operators import evaluate as E
+    from lumenpath.operators.dynamic import Document
+    from lumenpath.sources.documents import inferred, inferred_schema
+
+    rows = ['{"a": 1, "b": {"c": [1.5, 2]}, "m": 1, "odd name": "x"}', '{"b": {"d": "t"}, "m": "s"}', "{", None, "[1]"]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "n long, json string")
+    got = E.select(inferred(df.where("n < 4"), "json"), {"a": ("a", "integer"), "c": ("b.c.sum()", "decimal"), "d": ("b.d", "text"), "m": ("m", "text")}, ("n",)).orderBy("n").collect()
+    assert [tuple(r) for r in got[:2]] == [(0, 1, 3.5, None, "1"), (1, None, 0.0, "t", "s")] and got[2].a is None
+    assert inferred_schema(df.where("n > 90"), "json").startswith("STRUCT<") and inferred(df.where("n > 90"), "json").count() == 0
+    document = Document('{"a": [1, 2]}')
+    assert document.evaluate("a.count()") == [2] and document.json("a") == "[1, 2]"
+    kinds = examples.terminology().enumeration(examples.GENDERS, "Gender")
+    assert kinds.FEMALE.value == "female" and len(kinds) == 4
